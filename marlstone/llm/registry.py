@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from marlstone.llm import debruijn, packing, suffixes
+from marlstone.llm import debruijn, minhash, packing, suffixes
 
 
 def queries():
     return {
         "op5_substring_dedup": debruijn.op5,
         "op6_suffix_dedup": suffixes.op6,
+        "op8_minhash_near_dedup": minhash.op8,
         "op10_best_fit_packing": packing.op10,
     }
 
