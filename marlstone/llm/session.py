@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,14 +46,16 @@ def _setting(spark: SparkSession, key: str, value: str):
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that no later stage depends on one executor's disk.
+    """Write to a table in the shared checkpoint folder and read that, so that nothing later depends on one executor.
 
-    The shuffle files behind it are of no more use and are removed at once.
+    The shuffle files behind it are of no more use and are removed when the write ends.
     """
     spark = df.sparkSession
     prepare(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/marlstone-{uuid.uuid4().hex}"
     with _setting(spark, _CLEAN, "true"):
-        return df.checkpoint()
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
