@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from marlstone.llm import debruijn, minhash, packing, suffixes
+from marlstone.llm import debruijn, decontaminate, minhash, packing, pii, quality, suffixes
 
 
 def queries():
     return {
+        "op1_quality_classifier": quality.op1,
         "op5_substring_dedup": debruijn.op5,
         "op6_suffix_dedup": suffixes.op6,
+        "op7_pii_weak_supervision": pii.op7,
         "op8_minhash_near_dedup": minhash.op8,
+        "op9_benchmark_decontamination": decontaminate.op9,
         "op10_best_fit_packing": packing.op10,
     }
 
