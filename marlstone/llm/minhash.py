@@ -31,7 +31,7 @@ PERCENT = 85
 CHUNKS, SLOTS, BITS = 13, 8, 16
 #: what one side of a block comparison holds at most, about
 BLOCK_DOCS, BLOCK_SHINGLES = 1500, 2_000_000
-KEYS_PER_PARTITION = 2
+KEYS_PER_PARTITION = 1
 _R = np.random.default_rng(77).integers(0, 1 << 32, (2, CHUNKS * SLOTS), dtype=np.uint32)
 _SETS = "doc_id long, n_shingles long, d1 long, d2 long, keys binary"
 
@@ -157,13 +157,29 @@ def _halves(blobs: list[bytes], dtype) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype), np.zeros(0, np.int64))
 
 
-def _meet(batches):
-    """Edges between documents that share a key, contracted."""
+def _meet(n_keys: int):
+    """Edges between documents that share a key, dealt so that the same edge from other keys comes to the same place."""
+
+    def run(batches):
+        for _, held in by_key(batches):
+            _, _, a, b = _stars(*_halves(held[0], U64)) if 0 in held else (None, None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+            c, d = _halves(held.get(1, []), np.int64)
+            a, b = np.concatenate([a, c]), np.concatenate([b, d])
+            if not len(a):
+                continue
+            a, b = graph.forest(a, b)
+            cell = (kernel.mix(kernel.mix(a.view(U64)) ^ b.view(U64)) % U64(n_keys)).astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            cuts = np.searchsorted(cell[order], np.arange(n_keys + 1))
+            yield packed([(k, 0, a[o].tobytes() + b[o].tobytes()) for k in range(n_keys) if len(o := order[cuts[k] : cuts[k + 1]])])
+
+    return run
+
+
+def _once(batches):
+    """Edges of a cell, each once."""
     for _, held in by_key(batches):
-        _, _, a, b = _stars(*_halves(held.get(0, []), U64)) if 0 in held else (None, None, np.zeros(0, np.int64), np.zeros(0, np.int64))
-        c, d = _halves(held.get(1, []), np.int64)
-        if len(a) or len(c):
-            yield graph.edge_batch(*graph.forest(np.concatenate([a, c]), np.concatenate([b, d])))
+        yield graph.edge_batch(*np.unique(np.stack(_halves(held[0], np.int64)), axis=1))
 
 
 def common_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
@@ -257,7 +273,8 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b < top").drop("top")
     same = known.select("doc_id", "d1", "d2", "n_shingles").join(least, ["d1", "d2", "n_shingles"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     keyed = sets.where("keys is not null").select("doc_id", "keys")
-    coarse = graph.components(deal(keyed.mapInArrow(_deal_keys(n_keys), PACKED), n).mapInArrow(_meet, graph.EDGES))
+    edges = deal(keyed.mapInArrow(_deal_keys(n_keys), PACKED), n).mapInArrow(_meet(n), PACKED)
+    coarse = graph.components(deal(edges, n).mapInArrow(_once, graph.EDGES))
     members = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
     sizes = keyed_sizes(known, members)
     blocks = sizes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
