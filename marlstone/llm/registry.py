@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from marlstone.llm import blocks, debruijn, decontaminate, minhash, packing, pii, quality, suffixes
+from marlstone.llm import blocks, debruijn, decontaminate, minhash, packing, pii, quality, suffixes, vectors
 
 
 def queries():
     return {
         "op1_quality_classifier": quality.op1,
         "op3_html_extraction": blocks.op3,
+        "op4_embedding_near_dedup": vectors.op4,
         "op5_substring_dedup": debruijn.op5,
         "op6_suffix_dedup": suffixes.op6,
         "op7_pii_weak_supervision": pii.op7,
