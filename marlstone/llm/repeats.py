@@ -25,8 +25,8 @@ from marlstone.llm.session import cut, partitions
 
 PACKED = "key int, kind int, blob binary"
 MARKS = "doc_id long, fp int, full binary, open binary"
-RECORDS, FULL, OPEN = 0, 1, 2
-KEYS_PER_PARTITION = 4
+RECORDS, FULL = 0, 1
+KEYS_PER_PARTITION = 1
 
 
 class Rule(NamedTuple):
@@ -153,8 +153,7 @@ def _emit(parts: list[Recs], keys: list[np.ndarray], n_keys: int, same_doc: bool
     bounds = np.searchsorted(key[order], np.arange(n_keys + 1))
     out = [(k, RECORDS, send.take(order[a:b]).pack()) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
     if len(done.doc):
-        cell = cells(done.doc, n_keys)
-        out += [(int(k), FULL, done.take(cell == k).pack()) for k in np.unique(cell)] if len(done.doc) > 4 * n_keys else [(int(done.doc[0] % n_keys), FULL, done.pack())]
+        out.append((int(cells(done.doc[:1], n_keys)[0]), FULL, done.pack()))  # the reduction deals them out
     return packed(out)
 
 
@@ -260,21 +259,19 @@ def _reduce(rule: Rule, n_keys: int, expand: bool):
         for _, held in by_key(batches):
             r, cls, group = _classes(Recs.unpack(held.get(RECORDS, [])))
             rep = _repeated(r, cls, rule.same_doc)
-            out = [(FULL, r.take(rep)), (FULL, Recs.unpack(held.get(FULL, [])))]
+            out = [r.take(rep), Recs.unpack(held.get(FULL, []))]
             if expand and len(r.doc):
                 g = np.cumsum(group) - 1
                 branching = np.bincount(g, weights=cls)[g] > 1
-                out.append((OPEN, r.take(branching & ~rep)))
-            rows = []
-            for kind, x in out:
-                if len(x.doc):
-                    cell = cells(x.doc, n_keys)
-                    order = np.lexsort((x.start, x.fp, x.doc, cell))
-                    x, cell = x.take(order), cell[order]
-                    at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-                    rows += [(int(cell[a]), kind, x._replace(k64=x.k64 * U64(0)).take(slice(a, b)).pack()) for a, b in zip(at, np.append(at[1:], len(cell)), strict=True)]
-            if rows:
-                yield packed(rows)
+                out.append(r.take(branching & ~rep))
+            # k64 is of no more use but to say which marks are open
+            x = Recs(*(np.concatenate(c) for c in zip(*(m._replace(k64=np.full(len(m.doc), k == 2, U64)) for k, m in enumerate(out)), strict=True)))
+            if len(x.doc):
+                cell = cells(x.doc, n_keys)
+                order = np.lexsort((x.start, x.fp, x.doc, cell))
+                x, cell = x.take(order), cell[order]
+                at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+                yield packed([(int(cell[a]), FULL, x.take(slice(a, b)).pack()) for a, b in zip(at, np.append(at[1:], len(cell)), strict=True)])
 
     return run
 
@@ -285,15 +282,16 @@ def _assemble(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in by_key(batches):
             rows: dict[tuple[int, int], list] = {}
-            for kind in (FULL, OPEN):
-                x = Recs.unpack(held.get(kind, []))
+            every = Recs.unpack(held[FULL])
+            for opened in (False, True):
+                x = every.take((every.k64 == 1) == opened)
                 x = x.take(np.lexsort((x.start, x.fp, x.doc)))
                 if not len(x.doc):
                     continue
                 at = np.flatnonzero(np.append(True, (x.doc[1:] != x.doc[:-1]) | (x.fp[1:] != x.fp[:-1])))
                 for a, b in zip(at, np.append(at[1:], len(x.doc)), strict=True):
                     row = rows.setdefault((int(x.doc[a]), int(x.fp[a])), [None, None])
-                    if kind == FULL:
+                    if not opened:
                         row[0] = merged(x.start[a:b], x.start[a:b] + (x.count[a:b] - 1 + rule.length)).tobytes()
                     else:
                         row[1] = np.stack([x.start[a:b], x.count[a:b], x.k32[a:b].view(np.int32)], 1).astype(np.int32).tobytes()

@@ -58,7 +58,7 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+def partitions(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Partitions for a shuffle of what is derived from ``df``: grows with the estimated input bytes.
 
     Never under ``spark.sql.shuffle.partitions``; a bound of 200,000 keeps the shuffle's index files sane.
