@@ -30,17 +30,17 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long, kept boolean, bins long, bound long"
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
-def _cut(path: str, capacity: int, end: int, with_ids: bool):
+def _cut(path: str, ranks: str | None, capacity: int, end: int, with_ids: bool):
     def run(batches):
         from marlstone.llm.tokens import Encoder
 
-        enc = Encoder(path)
+        enc = Encoder(path, ranks)
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             _, offs = kernel.buffers(texts)
@@ -60,9 +60,14 @@ def _cut(path: str, capacity: int, end: int, with_ids: bool):
     return run
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids (little-endian uint32; null unless ``with_ids``)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(path or vocabulary(), capacity, end, with_ids), _PIECES)
+def pieces(docs: DataFrame, path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, ids (little-endian uint32; null unless ``with_ids``).
+
+    ``path``: a tokenizer's file, ``ranks``: its vocabulary as ranks, if there is one. Neither: the 50k byte-level BPE.
+    """
+    if path is None:
+        path, ranks = vocabulary(), vocabulary("byte_bpe_50k.tiktoken")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(path, ranks, capacity, end, with_ids), _PIECES)
 
 
 def lower_bound(counts: np.ndarray) -> int:

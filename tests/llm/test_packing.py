@@ -21,8 +21,9 @@ def test_cut_encoding_equals_whole(tok):
 
     texts = pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist()
     texts += ["", " ", "a", " a", "a ", "a  b", "a \n b", "\n\nx y", "x  y", "don't it's  'll", "<|endoftext|> x<|endoftext|>y", "ünï 123 45,6 🙂 🙂x", "tab\t tab", "x  y", "a\x1c b \x85c", "1 2 3", "..., !? a"]
-    enc = Encoder(packing.vocabulary(), kept=500)
-    for k in range(0, len(texts), 40):
+    for ranks, k in [(r, k) for r in (None, packing.vocabulary("byte_bpe_50k.tiktoken")) for k in range(0, len(texts), 40)]:
+        if not k:
+            enc = Encoder(packing.vocabulary(), ranks, kept=500)
         got = enc.encode(texts[k : k + 40])
         assert [x.tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts[k : k + 40]]
 
