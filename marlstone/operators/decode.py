@@ -108,11 +108,20 @@ def decode(df: DataFrame, column: str, model: Model, root: str, into: str = "dec
     return df.withColumn("__raw", raw).withColumn(into, d.document(F.col("__raw"), F.col(column), root, want)).select(*[c for c in keep if c != into], into)
 
 
+def once(c: Column) -> Column:
+    """``c``, kept by the optimizer as a column that is computed once and not copied into what reads it.
+
+    Generators and filters would otherwise take copies of the whole decoding expression, one for each field read.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def explode_items(df: DataFrame, column: str, path: str, keep: list[str] | None = None, outer: bool = False) -> DataFrame:
     """A row for each item of a decoded list; struct items become columns."""
     f = F.explode_outer if outer else F.explode
-    out = df.select(*(keep or []), f(F.col(f"{column}.{path}")).alias("item"))
-    return out.select(*(keep or []), "item.*") if out.schema["item"].dataType.typeName() == "struct" else out
+    keep = keep or []
+    out = df.select(*keep, once(F.col(f"{column}.{path}")).alias("__items")).select(*keep, f("__items").alias("item"))
+    return out.select(*keep, "item.*") if out.schema["item"].dataType.typeName() == "struct" else out
 
 
 def items_are(xml: Column, path: str, tag: str) -> Column:
