@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from marlstone.llm import blocks, debruijn, decontaminate, minhash, packing, pii, quality, suffixes, vectors
+from marlstone.llm import blocks, debruijn, decontaminate, licenses, minhash, packing, pii, quality, suffixes, vectors
 
 
 def queries():
     return {
         "op1_quality_classifier": quality.op1,
+        "op2_license_scans": licenses.op2,
         "op3_html_extraction": blocks.op3,
         "op4_embedding_near_dedup": vectors.op4,
         "op5_substring_dedup": debruijn.op5,
@@ -20,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op2_license_scans": licenses.sql()}
