@@ -271,6 +271,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = cut(docs.mapInArrow(_describe, _SETS))
     known = sets.where("doc_id is not null and n_shingles > 0")
     least = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b < top").drop("top")
+    least = cut(least)  # so that both sides of the join are shuffled for it alone and a hot class can be split
     same = known.select("doc_id", "d1", "d2", "n_shingles").join(least, ["d1", "d2", "n_shingles"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     keyed = sets.where("keys is not null").select("doc_id", "keys")
     edges = deal(keyed.mapInArrow(_deal_keys(n_keys), PACKED), n).mapInArrow(_meet(n), PACKED)
