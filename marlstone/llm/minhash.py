@@ -277,8 +277,9 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     edges = deal(keyed.mapInArrow(_deal_keys(n_keys), PACKED), n).mapInArrow(_meet(n), PACKED)
     coarse = graph.components(deal(edges, n).mapInArrow(_once, graph.EDGES))
     members = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
-    sizes = keyed_sizes(known, members)
+    sizes = cut(keyed_sizes(known, members))
     blocks = sizes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = cut(blocks)  # as above: a hot cluster is split
     placed = cut(sizes.join(blocks, "root").select(F.col("node").alias("doc_id"), "root", "blocks").distinct())
     texts = docs.join(placed.hint("shuffle_hash"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     texts = texts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
