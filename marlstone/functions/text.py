@@ -35,7 +35,7 @@ def special_overhead(c: Column) -> Column:
 def named_entities(c: Column) -> Column:
     """Named HTML references, of which XML knows five, as numeric ones."""
     known = {k: v for k, v in name2codepoint.items() if k not in ("amp", "lt", "gt", "quot", "apos")}
-    table = F.create_map(*[F.lit(x) for k, v in sorted(known.items()) for x in (k, f"&#{v};")])
+    table = F.expr("map(" + ", ".join(f"'{k}', '&#{v};'" for k, v in sorted(known.items())) + ")")
 
     def each(part: Column) -> Column:
         name = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*);", 1)
@@ -44,7 +44,15 @@ def named_entities(c: Column) -> Column:
 
     parts = F.split(c, "&")
     rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), each)
-    return F.when(c.rlike("&(?!amp;|lt;|gt;|quot;|apos;)[A-Za-z][A-Za-z0-9]*;") & ~F.contains(c, F.lit("<![CDATA[")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
+    return F.when(F.contains(c, F.lit("&")) & c.rlike("&(?!amp;|lt;|gt;|quot;|apos;)[A-Za-z][A-Za-z0-9]*;") & ~F.contains(c, F.lit("<![CDATA[")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
+
+
+def may_be_bodyless(c: Column) -> Column:
+    """False for most documents, without a pattern: no tag ends in a slash and none is marked nil."""
+    out = F.contains(c, F.lit("/>")) | F.contains(c, F.lit(":nil"))
+    for blank in " \t\r\n":
+        out = out | F.contains(c, F.lit(f"/{blank}"))
+    return out
 
 
 def drop_bodyless(c: Column) -> Column:
@@ -52,10 +60,10 @@ def drop_bodyless(c: Column) -> Column:
 
     Comments, CDATA sections and quoted attribute values are left alone.
     """
-    root = F.regexp_replace(c, rf"({_BEFORE_ROOT}<([^\s/>!?]+){_ATTRS})/>", "$1></$2>")
     nil = rf"""<([^\s/>!?]+)(?:\s+[^\s=<>/]+\s*=\s*(?:"[^"]*"|'[^']*'))*?\s+[\w.-]+:nil\s*=\s*["']true["']{_ATTRS}>\s*</\2>"""
     some = rf"(?s)(<!\[CDATA\[.*?\]\]>|<!--.*?-->)|{nil}|<[^\s/>!?]+{_ATTRS}/>"
-    return F.when(c.rlike(r"/\s*>|:nil"), F.regexp_replace(root, some, "$1")).otherwise(c)
+    root = F.regexp_replace(c, rf"({_BEFORE_ROOT}<([^\s/>!?]+){_ATTRS})/>", "$1></$2>")
+    return F.when(may_be_bodyless(c), F.regexp_replace(root, some, "$1")).otherwise(c)
 
 
 def cut_head(c: Column) -> Column:
