@@ -23,7 +23,7 @@ def escape(c: Column) -> Column:
         code = F.ascii(ch)
         return F.when(code.between(160, 255) | (code > 65535), F.concat(F.lit("&#"), code.cast("string"), F.lit(";"))).otherwise(ch)
 
-    slow = F.array_join(F.transform(F.split(out, ""), each), "")
+    slow = F.array_join(F.transform(F.split(out, f"(?<={_ODD})|(?={_ODD})"), each), "")  # each of them is a part of its own
     return F.when(c.rlike(_ODD), slow).otherwise(out)
 
 
