@@ -159,8 +159,26 @@ class Items:
         return row[rep], self.row[which], at[rep], self.at[which]
 
 
+def distinct(code: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many values code[k : ends[k]] holds, for each k; ``ends`` never falls."""
+    out, held, now, hi = [], [0] * (int(code.max(initial=-1)) + 1), 0, 0
+    code = code.tolist()
+    for c, end in zip(code, ends.tolist(), strict=True):
+        for x in code[hi:end]:
+            now += not held[x]
+            held[x] += 1
+        hi = end
+        out.append(now)
+        held[c] -= 1
+        now -= not held[c]
+    return np.array(out, np.int64)
+
+
 def judge(t: Tokens, text: int, items: Items, item: int, at: np.ndarray, item_at: np.ndarray, share: float = SHARE):
-    """(distinct windows matched, slots that changed) if the text holds the item, else None."""
+    """(distinct windows matched, slots that changed) if the text holds the item, else None.
+
+    Each stretch that reaches the share is judged, those with the most distinct windows first.
+    """
     m = int(items.t.first[item + 1] - items.t.first[item])
     width = max(WINDOW, m // 4)
     shift = at - item_at
@@ -169,15 +187,14 @@ def judge(t: Tokens, text: int, items: Items, item: int, at: np.ndarray, item_at
     base_i, base_t = int(items.t.first[item]), int(t.first[text])
     ends = np.searchsorted(shift, shift + width, "right")
     own = windows(Tokens(items.t.code[base_i : base_i + m], items.t.value[base_i : base_i + m], items.t.slot[base_i : base_i + m], np.array([0, m])))[0]
-    tried = -1
-    for lo in np.argsort(-(ends - np.arange(len(shift))), kind="stable").tolist()[:64] if len(shift) > 64 else range(len(shift)):
-        hi = int(ends[lo])
-        if hi == tried:
-            continue
-        tried = hi
-        got = len(np.unique(own[item_at[lo:hi]]))
+    values, code = np.unique(own[item_at], return_inverse=True)
+    if len(values) < share * items.need[item]:
+        return None
+    count = distinct(code, ends)
+    for lo in np.argsort(-count, kind="stable").tolist():
+        got, hi = int(count[lo]), int(ends[lo])
         if got < share * items.need[item]:
-            continue
+            break
         ti = (item_at[lo:hi, None] + np.arange(min(WINDOW, m))).ravel()
         td = (at[lo:hi, None] + np.arange(min(WINDOW, m))).ravel()
         ti, pick = np.unique(ti, return_index=True)

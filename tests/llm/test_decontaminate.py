@@ -151,3 +151,13 @@ def test_stage(spark):
     kept = D.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and kept.count() == len(DOCS) - len({d for d, _ in brute(DOCS, ITEMS)})
     assert D.matches(docs.limit(0), items).count() == 0 and D.matches(docs, items.limit(0)).count() == 0
+
+
+def test_copy_behind_a_table_of_numbers(spark):
+    numbers = lambda n: " ".join(str(k) for k in range(n))
+    items = [(1, f"Find the median of {numbers(11)} and report it")]
+    docs = [(1, f"{numbers(400)} rows. {items[0][1]}"), (2, f"{numbers(400)} rows"), (3, f"{items[0][1]}. {numbers(400)}")]
+    assert brute(docs, items) == {(1, 1), (3, 1)}
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for bound in (D.BROADCAST_WINDOWS, 0):
+        assert {(r.doc_id, r.item_id) for r in D.matches(docs, items, broadcast_windows=bound).collect()} == {(1, 1), (3, 1)}
