@@ -9,7 +9,7 @@ name or unit, the document must repeat its own (in at least 0.8 of the places).
 punctuation, and also where its numbers or names were replaced throughout.
 
 The item windows are broadcast while they number at most BROADCAST_WINDOWS; beyond it, documents' windows are shuffled
-and joined on the hash. Texts shorter than five tokens are one window of all their tokens, so such an item matches a text that says nothing else;
+and joined on the hash. Different texts under one item_id are items of their own. Texts shorter than five tokens are one window of all their tokens, so such an item matches a text that says nothing else;
 items without tokens, and rows
 without an id, match nothing. Null texts hold nothing. Repeated rows give one result. Extra columns are ignored.
 """
@@ -245,17 +245,17 @@ def _find(items: Items, share: float):
     return run
 
 
-def _explode(with_place: bool):
-    """Distinct windows of each text: id, hash."""
+def _explode(keys: list[str]):
+    """Distinct windows of each text: the columns named, then hash. The text is the last column read."""
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            data, offs = kernel.buffers(b.column(1))
+            data, offs = kernel.buffers(b.column(len(keys)))
             for lo, hi in kernel.groups(offs):
                 h, row, _ = windows(tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
                 pairs = np.unique(np.stack([row.astype(U64), h]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][pairs[0].astype(np.int64)], pa.int64()), pa.array(pairs[1].view(np.int64))], names=["id", "hash"])
+                at = pa.array(pairs[0].astype(np.int64) + lo)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(len(keys))), pa.array(pairs[1].view(np.int64))], names=[*keys, "hash"])
 
     return run
 
@@ -284,12 +284,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, broadca
         rows = bench.orderBy("item_id", "text").collect()
         out = docs.mapInArrow(_find(Items([r.item_id for r in rows], [r.text for r in rows]), share), _OUT)
     else:
-        theirs = bench.mapInArrow(_explode(False), "id long, hash long").select(F.col("id").alias("item_id"), "hash").distinct()
-        need = theirs.groupBy("item_id").agg(F.count("*").alias("need"))
-        mine = docs.mapInArrow(_explode(False), "id long, hash long").select(F.col("id").alias("doc_id"), "hash").distinct()
-        pairs = mine.join(theirs, "hash").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
-        pairs = pairs.join(need, "item_id").where(F.col("n") >= share * F.col("need")).select("doc_id", "item_id")
-        both = docs.join(pairs, "doc_id").join(bench.withColumnRenamed("text", "words"), "item_id").select("doc_id", "text", "item_id", "words")
+        bench = bench.withColumn("part", F.xxhash64("text"))  # texts that share an item_id are items of their own
+        item = ["item_id", "part"]
+        theirs = bench.select(*item, "text").mapInArrow(_explode(item), "item_id long, part long, hash long").distinct()
+        need = theirs.groupBy(item).agg(F.count("*").alias("need"))
+        mine = docs.mapInArrow(_explode(["doc_id"]), "doc_id long, hash long").distinct()
+        pairs = mine.join(theirs, "hash").groupBy("doc_id", *item).agg(F.count("*").alias("n"))
+        pairs = pairs.join(need, item).where(F.col("n") >= share * F.col("need")).select("doc_id", *item)
+        both = docs.join(pairs, "doc_id").join(bench.withColumnRenamed("text", "words"), item).select("doc_id", "text", "item_id", "words")
         out = both.mapInArrow(_verify(share), _OUT)
     return out.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"), F.min("n_changed").alias("n_changed"))
 

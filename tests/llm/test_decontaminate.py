@@ -161,3 +161,13 @@ def test_copy_behind_a_table_of_numbers(spark):
     docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for bound in (D.BROADCAST_WINDOWS, 0):
         assert {(r.doc_id, r.item_id) for r in D.matches(docs, items, broadcast_windows=bound).collect()} == {(1, 1), (3, 1)}
+
+
+def test_texts_that_share_an_item_id(spark):
+    items = [(1, ITEMS[0][1]), (1, ITEMS[5][1]), (1, ITEMS[5][1]), (2, ITEMS[6][1])]
+    docs = [(1, f"first {ITEMS[0][1]}"), (2, f"then {ITEMS[5][1]}"), (3, "neither of them"), (3, ITEMS[6][1])]
+    want = brute(docs, items)
+    assert want == {(1, 1), (2, 1), (3, 2)}
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    both = [sorted(map(tuple, D.matches(docs, items, broadcast_windows=bound).collect())) for bound in (D.BROADCAST_WINDOWS, 0)]
+    assert both[0] == both[1] and {r[:2] for r in both[0]} == want
