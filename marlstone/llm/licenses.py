@@ -19,8 +19,10 @@ from marlstone.llm.session import table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEADERS = r"\n[ \t]*(?:/\*+|\*+/?|//+|#+|--+|%+|>+|;+)?[ \t]*"
 ENDS = r"""[.!?]+["')\]]*[ \t\n]+|\n\n+"""
-#: a sentence without one of these words has no identifier
+#: the words by which the SQL picks sentences; it knows no licence that is named without one of them
 CUE = r"licen[sc]|copyright|©|spdx|warrant|permission|redistribut|reserved|domain|cc0|liable|mpl|advertising|endorse"
+#: a sentence without one of these has no identifier: each match of a pattern below holds one, before it is normalised, too
+CUES = CUE + r"|gpl|commons|\bcc[^a-z0-9]+by"
 DROPPED = r"""[\x20\t\n"'`*,()<>\[\]{}=“”„«»‘’]+"""
 #: read like sentences with another spelling
 SPELLED = ((r"creative commons attribution", "cc by"), (r"creative commons zero", "cc0"), (r"[ -]non-?commercial", "-nc"), (r"[ -]share-?alike", "-sa"), (r"[ -]no-?deriv(?:ative)?s(?: works)?", "-nd"))
@@ -182,9 +184,9 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     flat = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), LEADERS, "\n")
     low = F.transform(F.split(flat, ENDS, -1), lambda s: F.translate(s, UPPER, LOWER))
-    cued = F.filter(low, lambda s: F.rlike(s, F.lit(CUE)))
+    cued = F.filter(low, lambda s: F.rlike(s, F.lit(CUES)))
     found = F.filter(F.transform(cued, lambda s: _identifier(_normal(s))), lambda x: x.isNotNull())
-    found = F.when(F.rlike(text, F.lit(f"(?i){CUE}")), found).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.rlike(text, F.lit(f"(?i){CUES}")), found).otherwise(F.array().cast("array<string>"))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
     known = F.filter("found", lambda x: x != "?")
     df = df.select("doc_id", known.alias("sentences"), (F.size("found") - F.size(known)).cast("long").alias("n_unknown"))

@@ -108,3 +108,40 @@ def test_against_sql(spark, sf, tmp_path):
     rows = sorted(map(tuple, df.select(*rel.columns).collect()))
     assert rows == sorted(rel.fetchall())
     assert any(r[1] for r in rows)
+
+
+def shortest(tree):
+    """The shortest texts that a parsed pattern matches, one for each of its branches."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        elif op == "MAX_REPEAT":
+            more = [x * arg[0] for x in shortest(arg[2])] if arg[0] else [""]
+        elif op == "SUBPATTERN":
+            more = shortest(arg[3])
+        elif op == "BRANCH":
+            more = [x for branch in arg[1] for x in shortest(branch)]
+        else:
+            assert op in ("ANY", "AT"), op
+            more = ["x"] if op == "ANY" else [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+@pytest.mark.parametrize("name, pattern", licenses.SENTENCES)
+def test_each_pattern_has_a_cue(name, pattern):
+    for text in shortest(re._parser.parse(pattern)):
+        assert re.search(licenses.CUES, text), text
+
+
+def test_names_without_other_cues(spark):
+    cases = {
+        "Distributed under the GPL version 3": ["GPL-3.0"], "Published under LGPL-2.1": ["LGPL-2.1"], "This work is available under CC BY-SA 4.0": ["CC-BY-SA-4.0"],
+        "Creative Commons Attribution 4.0 International": ["CC-BY-4.0"], "# Shared as Creative\n# Commons Zero": ["CC0-1.0"], "// (CC)\n// \"BY\" 4.0": ["CC-BY-4.0"], "the commons and the gpl": [],
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    assert {list(cases)[r.doc_id]: list(r.licences) for r in got} == cases
