@@ -23,38 +23,56 @@ def checked(text: Column, value: Column, what: str) -> Column:
     return F.when(text.isNull(), F.lit(None)).when(value.isNull(), F.raise_error(F.concat(F.lit(f"not a valid {what}: "), text))).otherwise(value)
 
 
-def _number(kind: str, sql: str, low: int | None = None, high: int | None = None):
+def reader(parse: Callable[[Column], Column], what: str) -> Callable[[Column], Column]:
+    """A reader that raises where ``parse`` gives null; it keeps ``parse``, so that a document can be judged without raising."""
+
     def read(c: Column) -> Column:
+        return checked(c, parse(c), what)
+
+    read.parse, read.what = parse, what
+    return read
+
+
+def _number(kind: str, sql: str, low: int | None = None, high: int | None = None):
+    def parse(c: Column) -> Column:
         s = F.btrim(c, F.lit(_BLANK))
         v = F.when(s.rlike(r"^[+-]?[0-9]+$"), s).try_cast(sql)
         if low is not None:
             v = F.when(v.between(F.expr(f"CAST('{low}' AS {sql})"), F.expr(f"CAST('{high}' AS {sql})")), v)
-        return checked(c, v, kind)
+        return v
 
-    return read
+    return reader(parse, kind)
 
 
 def _boolean(c: Column) -> Column:
     s = F.lower(F.btrim(c, F.lit(_BLANK)))
-    return checked(c, F.when(s == "true", F.lit(True)).when(s == "false", F.lit(False)), "boolean")
+    return F.when(s == "true", F.lit(True)).when(s == "false", F.lit(False))
 
 
 def _guid(c: Column) -> Column:
     s = F.lower(F.btrim(c, F.lit(_BLANK + "{}")))
     s = F.when(s.rlike("^[0-9a-f]{32}$"), F.regexp_replace(s, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).otherwise(s)
-    return checked(c, F.when(s.rlike(GUID), s), "guid")
+    return F.when(s.rlike(GUID), s)
 
 
 def _date(c: Column) -> Column:
-    return checked(c, F.btrim(c, F.lit(_BLANK)).try_cast("timestamp"), "dateTime")
+    return F.btrim(c, F.lit(_BLANK)).try_cast("timestamp")
 
 
 def decimal_reader(precision: int = 28, scale: int = 10) -> Callable[[Column], Column]:
-    def read(c: Column) -> Column:
+    """Decimals of a fixed scale. Text with more decimals than that, zeros at its end aside, raises: nothing is rounded."""
+    fraction = rf"\.[0-9]{{1,{scale}}}0*" if scale else r"\.0+"
+
+    def parse(c: Column) -> Column:
         s = F.btrim(c, F.lit(_BLANK))
-        return checked(c, F.when(s.rlike(r"^[+-]?[0-9]*\.?[0-9]+$|^[+-]?[0-9]+\.$"), s).try_cast(f"decimal({precision},{scale})"), "decimal")
+        return F.when(s.rlike(rf"^[+-]?(?:[0-9]+\.?|[0-9]*{fraction})$"), s).try_cast(f"decimal({precision},{scale})")
 
-    return read
+    return reader(parse, "decimal")
+
+
+def as_is(c: Column) -> Column:
+    """A writer for text that is XML already."""
+    return c
 
 
 def date_writer(pattern: str = DATE_PATTERN) -> Callable[[Column], Column]:
@@ -76,9 +94,9 @@ class Scalar:
 
 
 _ALL = (
-    Scalar("dateTime", "timestamp", _date, date_writer(), 33, "0001-01-01 00:00:00"),
-    Scalar("guid", "string", _guid, F.lower, 36, "00000000-0000-0000-0000-000000000000"),
-    Scalar("boolean", "boolean", _boolean, plain, 5, False),
+    Scalar("dateTime", "timestamp", reader(_date, "dateTime"), date_writer(), 33, "0001-01-01 00:00:00"),
+    Scalar("guid", "string", reader(_guid, "guid"), F.lower, 36, "00000000-0000-0000-0000-000000000000"),
+    Scalar("boolean", "boolean", reader(_boolean, "boolean"), plain, 5, False),
     Scalar("byte", "tinyint", _number("byte", "tinyint"), plain, 4),
     Scalar("unsignedByte", "smallint", _number("unsignedByte", "smallint", 0, 255), plain, 3),
     Scalar("short", "smallint", _number("short", "smallint"), plain, 6),
@@ -104,6 +122,13 @@ class Codecs:
     def read(self, name: str, c: Column) -> Column:
         return self.readers.get(name, SCALARS[name].read)(c)
 
+    def problem(self, name: str, c: Column) -> Column:
+        """Why the text isn't of the type, null if it is; nothing is known about a reader of one's own that has no ``parse``."""
+        read = self.readers.get(name, SCALARS[name].read)
+        if not hasattr(read, "parse"):
+            return F.lit(None).cast("string")
+        return F.when(c.isNotNull() & read.parse(c).isNull(), F.concat(F.lit(f"not a valid {read.what}: "), c))
+
     def write(self, name: str, c: Column) -> Column:
         if name in self.writers:
             return self.writers[name](c)

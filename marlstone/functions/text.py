@@ -8,23 +8,32 @@ from pyspark.sql import Column, functions as F
 
 XSI = "http://www.w3.org/2001/XMLSchema-instance"
 PROLOG = '<?xml version="1.0" encoding="utf-8"?>'
-_ODD = "[\\u00A0-\\u00FF\\x{10000}-\\x{10FFFF}]"
+#: inside a character class: what is written as a numeric reference, and what XML 1.0 can't hold at all
+_REFERRED = "\\r\\u00A0-\\u00FF\\x{10000}-\\x{10FFFF}"
+_FORBIDDEN = "\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF"
+_CDATA = r"<!\[CDATA\[.*?\]\]>"
 _ATTRS = r"""(?:\s+[^\s=<>/]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*"""
 _BEFORE_ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*)?(?:<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*"
 
 
 def escape(c: Column) -> Column:
-    """Text as element content: the five markup characters, U+00A0 to U+00FF and what lies beyond U+FFFF as references."""
+    """Text as element content: the five markup characters, carriage returns, U+00A0 to U+00FF and what lies beyond U+FFFF as references.
+
+    Characters that XML 1.0 can't hold (most control characters, U+FFFE, U+FFFF) raise an error that says so.
+    """
     out = F.replace(c, F.lit("&"), F.lit("&amp;"))
     for raw, ref in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(raw), F.lit(ref))
 
-    def each(ch: Column) -> Column:
-        code = F.ascii(ch)
-        return F.when(code.between(160, 255) | (code > 65535), F.concat(F.lit("&#"), code.cast("string"), F.lit(";"))).otherwise(ch)
+    def each(part: Column) -> Column:
+        code = F.ascii(part)
+        referred = (code == 13) | code.between(160, 255) | (code > 65535)
+        return F.when(referred, F.concat(F.lit("&#"), code.cast("string"), F.lit(";"), F.substring(part, 2, 2**31 - 1))).otherwise(part)
 
-    slow = F.array_join(F.transform(F.split(out, f"(?<={_ODD})|(?={_ODD})"), each), "")  # each of them is a part of its own
-    return F.when(c.rlike(_ODD), slow).otherwise(out)
+    # each part begins with a character to refer to, but the first, which may hold none
+    parts = F.regexp_extract_all(out, F.lit(f"[{_REFERRED}][^{_REFERRED}]*|[^{_REFERRED}]+"), F.lit(0))
+    wrong = F.raise_error(F.lit("text holds a character that XML 1.0 cannot"))
+    return F.when(~c.rlike(f"[{_REFERRED}{_FORBIDDEN}]"), out).when(c.rlike(f"[{_FORBIDDEN}]"), wrong).otherwise(F.array_join(F.transform(parts, each), ""))
 
 
 def special_overhead(c: Column) -> Column:
@@ -32,8 +41,23 @@ def special_overhead(c: Column) -> Column:
     return F.lit(4) * F.length(F.regexp_replace(c, '[^<>&`"]', ""))
 
 
+def outside(c: Column, change, comments: bool = False) -> Column:
+    """``change`` applied to what lies outside CDATA sections (and comments, if asked for)."""
+    kept = f"{_CDATA}|<!--.*?-->" if comments else _CDATA
+    parts = F.regexp_extract_all(c, F.lit(f"(?s){kept}|<[^<]*+|[^<]++"), F.lit(0))
+    starts = ("<![CDATA[", "<!--") if comments else ("<![CDATA[",)
+
+    def each(p: Column) -> Column:
+        keep = F.startswith(p, F.lit(starts[0]))
+        for s in starts[1:]:
+            keep = keep | F.startswith(p, F.lit(s))
+        return F.when(keep, p).otherwise(change(p))
+
+    return F.array_join(F.transform(parts, each), "")
+
+
 def named_entities(c: Column) -> Column:
-    """Named HTML references, of which XML knows five, as numeric ones."""
+    """Named HTML references, of which XML knows five, as numeric ones; CDATA sections are left alone."""
     known = {k: v for k, v in name2codepoint.items() if k not in ("amp", "lt", "gt", "quot", "apos")}
     table = F.expr("map(" + ", ".join(f"'{k}', '&#{v};'" for k, v in sorted(known.items())) + ")")
 
@@ -42,9 +66,23 @@ def named_entities(c: Column) -> Column:
         ref = F.try_element_at(table, name)
         return F.when(ref.isNotNull(), F.concat(ref, F.substring(part, F.length(name) + 2, F.length(part)))).otherwise(F.concat(F.lit("&"), part))
 
-    parts = F.split(c, "&")
-    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), each)
-    return F.when(F.contains(c, F.lit("&")) & c.rlike("&(?!amp;|lt;|gt;|quot;|apos;)[A-Za-z][A-Za-z0-9]*;") & ~F.contains(c, F.lit("<![CDATA[")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
+    def numeric(x: Column) -> Column:
+        parts = F.split(x, "&")
+        return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), each), ""))
+
+    some = F.contains(c, F.lit("&")) & c.rlike("&(?!amp;|lt;|gt;|quot;|apos;)[A-Za-z][A-Za-z0-9]*;")
+    return F.when(some, F.when(has_cdata(c), outside(c, numeric)).otherwise(numeric(c))).otherwise(c)
+
+
+def retagged(c: Column, base: str, names: list[str]) -> Column:
+    """Elements named by a derived type as elements of the base with a type attribute. CDATA sections and comments are left alone."""
+    alt = "|".join(names)
+
+    def change(x: Column) -> Column:
+        x = F.regexp_replace(x, rf"<({alt})(?=[\s>])", f'<{base} xmlns:xsi="{XSI}" xsi:type="$1"')
+        return F.regexp_replace(x, f"</(?:{alt})\\s*>", f"</{base}>")
+
+    return F.when(c.rlike(rf"<(?:{alt})[\s>]"), F.when(F.contains(c, F.lit("<!")), outside(c, change, True)).otherwise(change(c))).otherwise(c)
 
 
 def may_be_bodyless(c: Column) -> Column:

@@ -99,22 +99,27 @@ class Encoder:
         return out.when(c.isNotNull(), total(name, 0))
 
 
-def encoded(c: Column, model: Model, root: str, prolog: bool = False, plain_base: bool = True) -> Column:
-    """The document of a struct column, with a prolog if asked for; null from null."""
+def encoded(c: Column, model: Model, root: str, prolog: bool = False, plain_base: bool = True, depth: int = wire.DEPTH) -> Column:
+    """The document of a struct column, with a prolog if asked for; null from null.
+
+    ``depth``: how often a record may hold itself in that column. ``encode`` sees the column's type and finds it out.
+    """
     model.root(root)
-    out = Encoder(model, plain_base).subject(root, root, c)
+    out = Encoder(model, plain_base, depth).subject(root, root, c)
     return F.concat(F.lit(text.PROLOG), out) if prolog else out
 
 
-def utf8(c: Column, model: Model, root: str, prolog: bool = False) -> Column:
-    return F.encode(encoded(c, model, root, prolog), "UTF-8")
+def utf8(c: Column, model: Model, root: str, prolog: bool = False, depth: int = wire.DEPTH) -> Column:
+    return F.encode(encoded(c, model, root, prolog, depth=depth), "UTF-8")
 
 
-def estimated(c: Column, model: Model, root: str, prolog: bool = False) -> Column:
+def estimated(c: Column, model: Model, root: str, prolog: bool = False, depth: int = wire.DEPTH) -> Column:
     """An estimate of the document's length in characters from the widths of its types; not an upper bound for quotes."""
     model.root(root)
-    return (Encoder(model).estimate_subject(root, root, c) + (len(text.PROLOG) if prolog else 0)).cast("long")
+    return (Encoder(model, depth=depth).estimate_subject(root, root, c) + (len(text.PROLOG) if prolog else 0)).cast("long")
 
 
 def encode(df: DataFrame, column: str, model: Model, root: str, into: str = "xml", prolog: bool = False) -> DataFrame:
-    return df.withColumn(into, encoded(F.col(column), model, root, prolog))
+    """``df`` with the documents of a struct column, however deep it is."""
+    model.check().root(root)
+    return df.withColumn(into, encoded(F.col(column), model, root, prolog, depth=wire.depth_of(model, root, df.schema[column].dataType)))

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marlstone.functions import text
-from marlstone.functions.codecs import Codecs, decimal_reader
+from marlstone.functions.codecs import Codecs, as_is, decimal_reader
 from marlstone.operators.decode import OPTIONS, decode, explode_items, items_are
 from marlstone.operators.encode import encode, encoded, estimated, utf8
 from marlstone.plans import wire
@@ -266,29 +266,41 @@ def _(t):
     return encode(baskets(t), "v", BASKET, "Basket").select(F.col("v.OrderKey").alias("order_key"), "xml")
 
 
+#: keys that a document of a growing list takes at most
+BLOCK = 64
+
+
 def parties(t) -> DataFrame:
+    """A row for each party: k its nation, block a part of the nation's parties, so that no document grows with the tables."""
     none = lambda k: F.lit(None).cast(k)
-    c = t("customer").select(F.col("c_nationkey").alias("k"), F.struct(F.lit("Client").alias("_type"), F.col("c_mktsegment").alias("Segment"), F.col("c_custkey").alias("Key"), F.col("c_name").alias("Name"), none("int").alias("Rank")).alias("p"))
-    s = t("supplier").select(F.col("s_nationkey").alias("k"), F.struct(F.lit("Vendor").alias("_type"), none("string").alias("Segment"), F.col("s_suppkey").alias("Key"), F.col("s_name").alias("Name"), (F.col("s_suppkey") % 7).cast("int").alias("Rank")).alias("p"))
+    c = t("customer").select(F.col("c_nationkey").alias("k"), F.expr(f"c_custkey div {BLOCK}").alias("block"), F.struct(F.lit("Client").alias("_type"), F.col("c_mktsegment").alias("Segment"), F.col("c_custkey").alias("Key"), F.col("c_name").alias("Name"), none("int").alias("Rank")).alias("p"))
+    s = t("supplier").select(F.col("s_nationkey").alias("k"), F.expr(f"s_suppkey div {BLOCK}").alias("block"), F.struct(F.lit("Vendor").alias("_type"), none("string").alias("Segment"), F.col("s_suppkey").alias("Key"), F.col("s_name").alias("Name"), (F.col("s_suppkey") % 7).cast("int").alias("Rank")).alias("p"))
     return c.unionByName(s)
 
 
 @query("decode_poly_list", "SELECT c_nationkey AS nation_key, 'Client' AS kind, c_custkey AS key, c_name AS name, c_mktsegment AS segment, CAST(NULL AS INTEGER) AS rank FROM customer UNION ALL SELECT s_nationkey, 'Vendor', s_suppkey, s_name, NULL, CAST(s_suppkey % 7 AS INTEGER) FROM supplier")
 def _(t):
-    g = parties(t).groupBy("k").agg(F.sort_array(F.collect_list("p")).alias("m")).select(F.struct(F.col("k").alias("NationKey"), F.col("m").alias("Parties")).alias("v"))
+    g = parties(t).groupBy("k", "block").agg(F.sort_array(F.collect_list("p")).alias("m")).select(F.struct(F.col("k").alias("NationKey"), F.col("m").alias("Parties")).alias("v"))
     got = decode(encode(g, "v", PARTY, "Directory"), "xml", PARTY, "Directory").select(F.col("decoded.NationKey").alias("nation_key"), "decoded")
     return explode_items(got, "decoded", "Parties", ["nation_key"]).select("nation_key", F.col("_type").alias("kind"), F.col("Key").alias("key"), F.col("Name").alias("name"), F.col("Segment").alias("segment"), F.col("Rank").alias("rank"))
 
 
-@query("encode_poly_list", f"SELECT s_nationkey AS nation_key, '<Directory><NationKey>' || s_nationkey || '</NationKey><Parties>' || string_agg('<Party xmlns:xsi=\"{text.XSI}\" xsi:type=\"Vendor\"><Rank>' || (s_suppkey % 7) || '</Rank><Key>' || s_suppkey || '</Key><Name>' || s_name || '</Name></Party>', '' ORDER BY s_suppkey) || '</Parties></Directory>' AS xml FROM supplier GROUP BY s_nationkey")
+PARTY_SQL = f"""
+SELECT k AS nation_key, block, '<Directory><NationKey>' || k || '</NationKey><Parties>' || string_agg(x, '' ORDER BY kind, segment, key) || '</Parties></Directory>' AS xml FROM (
+  SELECT c_nationkey AS k, c_custkey // {BLOCK} AS block, 'Client' AS kind, c_mktsegment AS segment, c_custkey AS key, '<Party xmlns:xsi="{text.XSI}" xsi:type="Client"><Segment>' || c_mktsegment || '</Segment><Key>' || c_custkey || '</Key><Name>' || c_name || '</Name></Party>' AS x FROM customer
+  UNION ALL SELECT s_nationkey, s_suppkey // {BLOCK}, 'Vendor', '', s_suppkey, '<Party xmlns:xsi="{text.XSI}" xsi:type="Vendor"><Rank>' || (s_suppkey % 7) || '</Rank><Key>' || s_suppkey || '</Key><Name>' || s_name || '</Name></Party>' FROM supplier
+) GROUP BY k, block"""
+
+
+@query("encode_poly_list", PARTY_SQL)
 def _(t):
-    v = parties(t).where("p._type = 'Vendor'").groupBy("k").agg(F.sort_array(F.collect_list("p")).alias("m"))
-    return encode(v.select(F.col("k").alias("nation_key"), F.struct(F.col("k").alias("NationKey"), F.col("m").alias("Parties")).alias("v")), "v", PARTY, "Directory").select("nation_key", "xml")
+    v = parties(t).groupBy("k", "block").agg(F.sort_array(F.collect_list("p")).alias("m"))
+    return encode(v.select(F.col("k").alias("nation_key"), "block", F.struct(F.col("k").alias("NationKey"), F.col("m").alias("Parties")).alias("v")), "v", PARTY, "Directory").select("nation_key", "block", "xml")
 
 
 @query("decode_poly_tags", "SELECT c_nationkey AS nation_key, 'Client' AS kind, c_custkey AS key FROM customer")
 def _(t):
-    g = t("customer").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<Client><Key>"), "c_custkey", F.lit("</Key></Client>")))), "").alias("m"))
+    g = t("customer").groupBy("c_nationkey", F.expr(f"c_custkey div {BLOCK}")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<Client><Key>"), "c_custkey", F.lit("</Key></Client>")))), "").alias("m"))
     docs = g.select(F.concat(F.lit("<Directory><NationKey>"), "c_nationkey", F.lit("</NationKey><Parties>"), "m", F.lit("</Parties></Directory>")).alias("xml"))
     got = decode(docs, "xml", PARTY, "Directory").select(F.col("decoded.NationKey").alias("nation_key"), "decoded")
     return explode_items(got, "decoded", "Parties", ["nation_key"]).select("nation_key", F.col("_type").alias("kind"), F.col("Key").alias("key"))
@@ -339,7 +351,7 @@ def _(t):
 @query("decode_list_enum", "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
 def _(t):
     m = Model().subject("User", ("Id", "long"), ("Kinds", Many(KIND)), root=True)
-    g = t("events").groupBy("user_id").agg(F.collect_list("event_type").alias("k")).select(F.struct(F.col("user_id").alias("Id"), F.col("k").alias("Kinds")).alias("v"))
+    g = t("events").groupBy("user_id", F.expr("event_id div 4096")).agg(F.collect_list("event_type").alias("k")).select(F.struct(F.col("user_id").alias("Id"), F.col("k").alias("Kinds")).alias("v"))
     got = decode(encode(g, "v", m, "User"), "xml", m, "User").select(F.col("decoded.Id").alias("user_id"), "decoded")
     return explode_items(got, "decoded", "Kinds", ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("item").alias("kinds"))
 
@@ -405,7 +417,12 @@ def _(t):
     return encode(ints(t), "v", INTS, "Ints").select("key", "xml")
 
 
-ESCAPED = "array_to_string(list_transform(string_split(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), ''), lambda c: CASE WHEN unicode(c) BETWEEN 160 AND 255 OR unicode(c) > 65535 THEN '&#' || unicode(c) || ';' ELSE c END), '')"
+def escaped(x: str) -> str:
+    """SQL for the text that ``x`` is written as."""
+    return f"array_to_string(list_transform(string_split(replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), ''), lambda c: CASE WHEN unicode(c) = 13 OR unicode(c) BETWEEN 160 AND 255 OR unicode(c) > 65535 THEN '&#' || unicode(c) || ';' ELSE c END), '')"
+
+
+ESCAPED = escaped("text")
 
 
 @query("encode_string", f"SELECT doc_id, '<Doc><Id>' || doc_id || '</Id><Text>' || {ESCAPED} || '</Text></Doc>' AS xml FROM documents")
@@ -425,9 +442,9 @@ def _(t):
     return decode(docs, "xml", TEXT, "Doc").select(F.col("decoded.Id").alias("event_id"), F.col("decoded.Text").alias("props"))
 
 
-@query("decode_cdata", "SELECT doc_id, text FROM documents WHERE NOT contains(text, ']]>')")
+@query("decode_cdata", "SELECT doc_id, text FROM documents")
 def _(t):
-    d = t("documents").where(~F.contains("text", F.lit("]]>")))
+    d = t("documents").withColumn("text", F.replace("text", F.lit("]]>"), F.lit("]]]]><![CDATA[>")))  # over two sections
     x = F.concat(F.lit("<Doc><Id>"), "doc_id", F.lit("</Id><Text><![CDATA["), "text", F.lit("]]></Text></Doc>"))
     return decode(d.select(x.alias("xml")), "xml", TEXT, "Doc").select(F.col("decoded.Id").alias("doc_id"), F.col("decoded.Text").alias("text"))
 
@@ -527,14 +544,132 @@ def _(t):
 def _(t):
     m = Model().subject("Turn", ("N", "long"), ("Role", "string"), ("Text", "string")).subject("Talk", ("Id", "long"), ("Turns", Many(Ref("Turn"))), root=True)
     turn = F.struct(F.col("turn").alias("N"), F.col("role").alias("Role"), F.col("text").alias("Text"))
-    g = t("conversations").groupBy("conv_id").agg(F.collect_list(turn).alias("Turns")).select(F.struct(F.col("conv_id").alias("Id"), "Turns").alias("v"))
+    g = t("conversations").groupBy("conv_id", F.expr(f"turn div {BLOCK}")).agg(F.collect_list(turn).alias("Turns")).select(F.struct(F.col("conv_id").alias("Id"), "Turns").alias("v"))
     got = decode(encode(g, "v", m, "Talk").select("xml"), "xml", m, "Talk").select(F.col("decoded.Id").alias("conv_id"), "decoded")
     return explode_items(got, "decoded", "Turns", ["conv_id"]).select("conv_id", F.col("N").alias("turn"), F.col("Role").alias("role"), F.col("Text").alias("text"))
 
 
-@query("wire_schema", "SELECT 'struct<OrderKey:string,CustKey:string,OrderDate:string,Status:string,Priority:string>' AS wire, 'struct<OrderKey:string>' AS pruned FROM region LIMIT 1")
+@query("wire_schema", "SELECT r_regionkey AS region_key, 'struct<OrderKey:string,CustKey:string,OrderDate:string,Status:string,Priority:string>' AS wire, 'struct<OrderKey:string>' AS pruned FROM region")
 def _(t):
-    return t("region").limit(1).select(F.lit(wire.struct(ORDER, "Order").simpleString()).alias("wire"), F.lit(wire.struct(ORDER, "Order", {"OrderKey": {}}).simpleString()).alias("pruned"))
+    return t("region").select(F.col("r_regionkey").alias("region_key"), F.lit(wire.struct(ORDER, "Order").simpleString()).alias("wire"), F.lit(wire.struct(ORDER, "Order", {"OrderKey": {}}).simpleString()).alias("pruned"))
+
+
+# -- the parser for what has a plain form, too; characters that are written as references; guards and refused documents
+
+
+@query("decode_parser", ORDER_SQL)
+def _(t):
+    return order_columns(decode(order_xml(t), "xml", ORDER, "Order", plain_form=False))
+
+
+def astral(c: Column) -> Column:
+    """Each text with characters beyond U+FFFF and a carriage return before it, in it and after it."""
+    half = F.expr("CAST(length(text) div 2 AS INT)")
+    return F.concat(F.lit("😀a"), F.substr(c, F.lit(1), half), F.lit("\r𝔘b😀"), F.substr(c, half + 1), F.lit("😀 after"))
+
+
+ASTRAL = "'😀a' || substring(text, 1, length(text) // 2) || chr(13) || '𝔘b😀' || substring(text, length(text) // 2 + 1) || '😀 after'"
+
+
+@query("encode_astral", f"SELECT doc_id, '<Doc><Id>' || doc_id || '</Id><Text>' || {escaped(ASTRAL)} || '</Text></Doc>' AS xml FROM documents")
+def _(t):
+    return t("documents").select("doc_id", encoded(F.struct(F.col("doc_id").alias("Id"), astral(F.col("text")).alias("Text")), TEXT, "Doc").alias("xml"))
+
+
+@query("roundtrip_astral", f"SELECT doc_id, {ASTRAL} AS text FROM documents")
+def _(t):
+    docs = t("documents").select(encoded(F.struct(F.col("doc_id").alias("Id"), astral(F.col("text")).alias("Text")), TEXT, "Doc").alias("xml"))
+    return decode(docs, "xml", TEXT, "Doc").select(F.col("decoded.Id").alias("doc_id"), F.col("decoded.Text").alias("text"))
+
+
+@query("encode_raw_string", "SELECT doc_id, '<Doc><Id>' || doc_id || '</Id><Text><b>' || lang || '</b>&amp;</Text></Doc>' AS xml FROM documents")
+def _(t):
+    m = Model(Codecs(writers={"string": as_is})).subject("Doc", ("Id", "long"), ("Text", "string"), root=True)
+    return t("documents").select("doc_id", encoded(F.struct(F.col("doc_id").alias("Id"), F.concat(F.lit("<b>"), "lang", F.lit("</b>&amp;")).alias("Text")), m, "Doc").alias("xml"))
+
+
+@query("encode_guid", "SELECT c_custkey AS key, '<Ident><Id>' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '</Id></Ident>' AS xml FROM (SELECT c_custkey, md5(c_name) AS h FROM customer)")
+def _(t):
+    m = Model().subject("Ident", ("Id", "guid"), root=True)
+    raw = F.upper(F.regexp_replace(F.md5("c_name"), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+    return t("customer").select(F.col("c_custkey").alias("key"), encoded(F.struct(raw.alias("Id")), m, "Ident").alias("xml"))
+
+
+@query("encode_boolean", "SELECT l_orderkey AS order_key, l_linenumber AS number, '<L><R>' || CASE WHEN l_returnflag = 'R' THEN 'true' ELSE 'false' END || '</R></L>' AS xml FROM lineitem")
+def _(t):
+    m = Model().subject("L", ("R", "boolean"), root=True)
+    return t("lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("number"), encoded(F.struct((F.col("l_returnflag") == "R").alias("R")), m, "L").alias("xml"))
+
+
+@query("encode_decimal", "SELECT l_orderkey AS order_key, l_linenumber AS number, '<L><P>' || CAST(l_extendedprice AS DECIMAL(18,2)) || '</P></L>' AS xml FROM lineitem")
+def _(t):
+    m = Model().subject("L", ("P", "decimal"), root=True)
+    return t("lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("number"), encoded(F.struct(F.col("l_extendedprice").cast("decimal(18,2)").alias("P")), m, "L").alias("xml"))
+
+
+@query("decode_decimal_guard", "SELECT p_partkey AS key, CASE p_partkey % 3 WHEN 0 THEN p_partkey + 0.1234567891 WHEN 1 THEN CAST(p_partkey + 0.5 AS DECIMAL(28,10)) END AS price, p_partkey % 3 = 2 AS refused FROM part")
+def _(t):
+    m = Model().subject("P", ("P", "decimal?"), root=True)
+    tail = F.when(F.col("p_partkey") % 3 == 0, ".1234567891").when(F.col("p_partkey") % 3 == 1, ".500000000000").otherwise(".123456789012345")
+    docs = t("part").select("p_partkey", F.concat(F.lit("<P><P>"), "p_partkey", tail, F.lit("</P></P>")).alias("xml"))
+    got = decode(docs, "xml", m, "P", bad="why")
+    return got.select(F.col("p_partkey").alias("key"), F.col("decoded.P").alias("price"), F.col("why").isNotNull().alias("refused"))
+
+
+@query("decode_datetime_raw", "SELECT event_id, ts, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || (event_id % 10) AS ts_raw FROM events")
+def _(t):
+    m = Model().subject("Event", ("Id", "long"), ("At", "dateTime"), root=True)
+    docs = t("events").select(F.concat(F.lit("<Event><Id>"), "event_id", F.lit("</Id><At>"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), (F.col("event_id") % 10).cast("string"), F.lit("</At></Event>")).alias("xml"))
+    d = F.col("decoded")
+    return decode(docs, "xml", m, "Event", raw_dates=True).select(d.Id.alias("event_id"), d.At.cast("timestamp_ntz").alias("ts"), d.At_raw.alias("ts_raw"))
+
+
+@query("decode_wrong_item", "SELECT c_custkey AS key, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name, c_custkey % 3 = 0 AS refused FROM customer")
+def _(t):
+    tag = F.when(F.col("c_custkey") % 3 == 0, "int").otherwise("string")
+    x = F.concat(F.lit("<Names><RegionKey>1</RegionKey><Members><string>a</string><"), tag, F.lit(">"), text.escape(F.col("c_name")), F.lit("</"), tag, F.lit("></Members></Names>"))
+    got = decode(t("customer").select("c_custkey", x.alias("xml")), "xml", NAMES, "Names", bad="why")
+    return got.select(F.col("c_custkey").alias("key"), F.try_element_at("decoded.Members", F.lit(2)).alias("name"), F.col("why").isNotNull().alias("refused"))
+
+
+@query("decode_enum_tags", "SELECT event_id, event_type AS first, 'click' AS second FROM events")
+def _(t):
+    m = Model().subject("User", ("Id", "long"), ("Kinds", Many(KIND)), root=True)
+    x = F.concat(F.lit("<User><Id>"), "event_id", F.lit("</Id><Kinds><Whatever>"), "event_type", F.lit("</Whatever><Kind>click</Kind></Kinds></User>"))
+    d = F.col("decoded")
+    return decode(t("events").select(x.alias("xml")), "xml", m, "User").select(d.Id.alias("event_id"), d.Kinds[0].alias("first"), d.Kinds[1].alias("second"))
+
+
+@query("decode_cdata_tags", "SELECT c_custkey AS key, 'see <Client> ' || c_name || ' </Client>' AS name FROM customer")
+def _(t):
+    x = F.concat(F.lit("<Directory><NationKey>1</NationKey><Parties><!-- <Vendor> --><Client><Key>"), "c_custkey", F.lit("</Key><Name><![CDATA[see <Client> "), "c_name", F.lit(" </Client>]]></Name></Client></Parties></Directory>"))
+    p = F.col("decoded.Parties")[0]
+    return decode(t("customer").select(x.alias("xml")), "xml", PARTY, "Directory").select(p.Key.alias("key"), p.Name.alias("name"))
+
+
+@query("decode_entities_cdata", "SELECT doc_id, chr(160) || '&nbsp;<' || lang || '>' || chr(233) AS text FROM documents")
+def _(t):
+    x = F.concat(F.lit("<Doc><Id>"), "doc_id", F.lit("</Id><Text>&nbsp;<![CDATA[&nbsp;<]]>"), "lang", F.lit("&gt;&eacute;</Text></Doc>"))
+    return decode(t("documents").select(x.alias("xml")), "xml", TEXT, "Doc").select(F.col("decoded.Id").alias("doc_id"), F.col("decoded.Text").alias("text"))
+
+
+@query("decode_permissive", "SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 4 = 3 THEN o_custkey END AS cust_key, CASE o_orderkey % 4 WHEN 0 THEN 'not well-formed' WHEN 1 THEN 'not a valid long: x' WHEN 2 THEN 'not a Order document: Odd' END AS why FROM orders")
+def _(t):
+    k = F.col("o_orderkey") % 4
+    xml = F.col("xml")
+    bad = F.when(k == 0, F.expr("substring(xml, 1, length(xml) - 4)")).when(k == 1, F.replace(xml, F.lit("<CustKey>"), F.lit("<CustKey>x</CustKey><B>"))).when(k == 2, F.replace(xml, F.lit("Order>"), F.lit("Odd>"))).otherwise(xml)
+    bad = F.when(k == 1, F.regexp_replace(bad, "<B>([0-9]+)</CustKey>", "<B>$1</B>")).otherwise(bad)
+    docs = t("orders").select("o_orderkey", encoded(order_struct(), ORDER, "Order").alias("xml")).select("o_orderkey", bad.alias("xml"))
+    return decode(docs, "xml", ORDER, "Order", bad="why").select(F.col("o_orderkey").alias("order_key"), F.col("decoded.CustKey").alias("cust_key"), "why")
+
+
+@query("decode_deep", "SELECT o_orderkey AS order_key, o_custkey AS inmost, true AS refused_at_3, '<Node><Key>1</Key><Next><Key>2</Key><Next><Key>3</Key><Next><Key>4</Key><Next><Key>' || o_custkey || '</Key></Next></Next></Next></Next></Node>' AS xml FROM orders")
+def _(t):
+    m = Model().subject("Node", ("Key", "long"), ("Next", Ref("Node")), root=True)
+    docs = t("orders").select("o_orderkey", F.concat(F.lit("<Node>" + "".join(f"<Key>{i}</Key><Next>" for i in range(1, 5)) + "<Key>"), "o_custkey", F.lit("</Key>" + "</Next>" * 4 + "</Node>")).alias("given"))
+    got = decode(docs, "given", m, "Node", depth=5)
+    got = decode(got, "given", m, "Node", into="less", bad="why")
+    return encode(got, "decoded", m, "Node").select(F.col("o_orderkey").alias("order_key"), F.col("decoded.Next.Next.Next.Next.Key").alias("inmost"), F.col("why").isNotNull().alias("refused_at_3"), "xml")
 
 
 assert OPTIONS["mode"] == "FAILFAST"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from marlstone.operators.decode import OPTIONS, decode
+from marlstone.operators.decode import OPTIONS, Decoder, decode
 from marlstone.operators.encode import encoded, utf8
 from marlstone.plans import wire
 from marlstone.plans.model import Model
@@ -25,10 +25,25 @@ def read_documents(spark: SparkSession, path: str, column: str = "xml", whole: b
     return spark.read.text(path, wholetext=whole).withColumnRenamed("value", column)
 
 
-def read_records(spark: SparkSession, path: str, model: Model, root: str, paths: list[str] | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, model: Model, root: str, paths: list[str] | None = None, depth: int = wire.DEPTH) -> DataFrame:
     """Elements named as the root out of XML files of any size, with all leaves as strings; files are split by Spark."""
     model.check().root(root)
-    return spark.read.format("xml").options(**OPTIONS).option("rowTag", root).schema(wire.struct(model, root, wire.tree(paths))).load(path)
+    want = wire.known(model, root, wire.tree(paths))
+    return spark.read.format("xml").options(**OPTIONS).option("rowTag", root).schema(wire.struct(model, root, want, depth=depth, split=True)).load(path)
+
+
+def decode_records(spark: SparkSession, path: str, model: Model, root: str, paths: list[str] | None = None, into: str = "decoded", depth: int = wire.DEPTH) -> DataFrame:
+    """The same elements, typed: guards, readers and derived types as in ``decode``.
+
+    Files are read as they stand, so XML's own five references are all that may be named, an element without a body is an
+    empty one, and items under a derived tag come after those under their base's.
+    """
+    raw = read_records(spark, path, model, root, paths, depth)
+    d = Decoder(model, depth=depth, split=True)
+    c = F.struct(*(F.col(x) for x in raw.columns))
+    if model.subjects[root].derived:
+        c = c.withField(wire.TYPE, F.coalesce(c[wire.TYPE], F.lit(root)))
+    return raw.select(d.subject(root, c, wire.tree(paths), (), False).alias(into))
 
 
 def read_stream(spark: SparkSession, path: str, model: Model, root: str, column: str = "xml", paths: list[str] | None = None) -> DataFrame:
