@@ -25,15 +25,12 @@ def escape(c: Column) -> Column:
     for raw, ref in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(raw), F.lit(ref))
 
-    def each(part: Column) -> Column:
-        code = F.ascii(part)
-        referred = (code == 13) | code.between(160, 255) | (code > 65535)
-        return F.when(referred, F.concat(F.lit("&#"), code.cast("string"), F.lit(";"), F.substring(part, 2, 2**31 - 1))).otherwise(part)
-
-    # each part begins with a character to refer to, but the first, which may hold none
-    parts = F.regexp_extract_all(out, F.lit(f"[{_REFERRED}][^{_REFERRED}]*|[^{_REFERRED}]+"), F.lit(0))
+    # one more in front, so that each part begins with a character to refer to; its reference is cut off again
+    parts = F.regexp_extract_all(F.concat(F.lit("\r"), out), F.lit(f"[{_REFERRED}][^{_REFERRED}]*"), F.lit(0))
+    written = F.transform(parts, lambda p: F.concat(F.lit("&#"), F.ascii(p).cast("string"), F.lit(";"), F.substring(p, 2, 2**31 - 1)))
+    slow = F.substring(F.array_join(written, ""), len("&#13;") + 1, 2**31 - 1)
     wrong = F.raise_error(F.lit("text holds a character that XML 1.0 cannot"))
-    return F.when(~c.rlike(f"[{_REFERRED}{_FORBIDDEN}]"), out).when(c.rlike(f"[{_FORBIDDEN}]"), wrong).otherwise(F.array_join(F.transform(parts, each), ""))
+    return F.when(~c.rlike(f"[{_REFERRED}{_FORBIDDEN}]"), out).when(c.rlike(f"[{_FORBIDDEN}]"), wrong).otherwise(slow)
 
 
 def special_overhead(c: Column) -> Column:
