@@ -13,7 +13,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(d, shingle_set(t)) for d, t in rows]
     root = {d: d for d, _ in sets if d is not None}
 
@@ -24,7 +24,7 @@ def brute(rows):
 
     for i, (d, s) in enumerate(sets):
         for e, t in sets[:i]:
-            if s and t and d is not None and e is not None and 100 * len(s & t) >= 85 * len(s | t):
+            if s and t and d is not None and e is not None and 100 * len(s & t) >= percent * len(s | t):
                 a, b = sorted((find(d), find(e)))
                 root[b] = a
     return sorted(((d, len(s), None if d is None else find(d), d is None or find(d) == d) for d, s in sets), key=str)
@@ -55,6 +55,29 @@ def test_against_brute_force(spark):
         assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
 
 
+def test_at_eighty(spark):
+    rows = corpus(5) + [(7000 + i, " ".join(f"v{j}" if j != 50 or i == 0 else f"e{i}" for j in range(92))) for i in range(3)]  # edits of one word in 92: 83 common of 93
+    rows += [(7100 + i, " ".join(f"u{j}" if j != 30 or i == 0 else f"f{i}" for j in range(52))) for i in range(2)]  # 43 common of 53: 0.811
+    got80 = sorted(map(tuple, minhash.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 80).collect()), key=str)
+    assert got80 == brute(rows, 80) and {r[2] for r in got80 if r[0] in (7100, 7101)} == {7100}
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80)
+    assert sorted((x.doc_id for x in kept.collect()), key=str) == sorted((d for d, _, _, k in set(brute(rows, 80)) if k), key=str)
+
+
+def test_repeated_rows_of_the_stage(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "w"), (1, "a b c", "w"), (1, "other words", "z"), (None, "n", "p"), (None, "n", "p"), (2, "A b c", "q")]
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c", "w"), (1, "other words", "z"), (None, "n", "p"), (None, "n", "p")], key=str)
+
+
+def test_shapes():
+    for percent in (80, 85, 90):
+        chunks, slots = minhash.shape(percent)
+        p = percent / 100
+        assert (1 - p**slots - slots * (1 - p) * p ** (slots - 1)) ** chunks <= 1e-6
+    assert minhash.shape(85) == (minhash.CHUNKS, minhash.SLOTS)
+
+
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 3)
     rows = corpus(8)
