@@ -2,23 +2,28 @@
 
 A signature has CHUNKS * SLOTS minima of BITS bits. It is split into CHUNKS chunks; for each chunk and each of its
 slots, the other slots make a key, so two chunks that differ in at most one slot share one. By pigeonhole every pair
-whose signatures differ in at most 2 * CHUNKS - 1 slots shares a key. At a Jaccard similarity of 0.85 a pair has
-no common key with a probability under 1e-6, and less above it.
+whose signatures differ in at most 2 * CHUNKS - 1 slots shares a key. ``shape`` picks both numbers so that a pair at the
+similarity asked for has no common key with a probability under 1e-6, and less above it.
+
+Equal sets are one class from the start: a digest of 128 bits and the size group them. In a task, the first of a class leads
+and the others are linked to it on the spot, so only leaders travel: a class of a third of all rows sends one row from
+each task. The smallest leader of a class represents it; it alone is compared.
 
 Documents that share keys form coarse clusters; those bound what has to be compared and decide nothing. Inside a
-cluster, all pairs are compared on their full sets by counting common shingles, in blocks, and only a spanning forest
-of the links leaves a task. Equal sets are one class from the start: a digest of 128 bits and the size group them.
+cluster, all pairs of representatives are compared on their full sets by counting common shingles, in blocks, and only a
+spanning forest of the links leaves a task.
 
 Definitions: null texts and texts without words have an empty set, are linked with nothing and form their own component.
 Rows that share a doc_id are one node of the graph. A row without a doc_id is linked with nothing, its component_id is
-null, and it is kept. Extra columns are ignored.
+null, and it is kept. Very long texts are read in slices. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from marlstone.llm import graph, kernel
@@ -28,12 +33,30 @@ from marlstone.llm.session import cut, partitions, table
 
 WORDS = 5
 PERCENT = 85
-CHUNKS, SLOTS, BITS = 13, 8, 16
+BITS = 16
+
+
+def shape(percent: int, missed: float = 1e-6, most: int = 128) -> tuple[int, int]:
+    """(chunks, slots): the widest chunks, up to 8 slots, with which that share of pairs at the similarity is missed at most."""
+    p = min(percent / 100, 0.999)
+    for slots in range(8, 0, -1):
+        meets = p**slots + slots * (1 - p) * p ** (slots - 1)
+        chunks = max(2, math.ceil(math.log(missed) / math.log(1 - meets))) if meets < 1 else 2
+        if chunks * slots <= most or slots == 1:
+            return chunks, slots
+    raise AssertionError
+
+
+CHUNKS, SLOTS = shape(PERCENT)
+#: classes that a task remembers the leader of; beyond it, it begins anew and a class has another leader
+LEADERS = 200_000
+#: rows of a table that is broadcast, after they were counted
+BROADCAST_ROWS = 200_000
 #: what one side of a block comparison holds at most, about
 BLOCK_DOCS, BLOCK_SHINGLES = 1500, 2_000_000
 KEYS_PER_PARTITION = 1
-_R = np.random.default_rng(77).integers(0, 1 << 32, (2, CHUNKS * SLOTS), dtype=np.uint32)
-_SETS = "doc_id long, n_shingles long, d1 long, d2 long, keys binary"
+_R = np.random.default_rng(77).integers(0, 1 << 32, (2, 512), dtype=np.uint32)
+_SETS = "doc_id long, n_shingles long, d1 long, d2 long, lead long, keys binary"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -66,51 +89,60 @@ def unique_sets(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[keep], sums[at]
 
 
-def signatures(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def signatures(x: np.ndarray, at: np.ndarray, size: int = CHUNKS * SLOTS) -> np.ndarray:
     """Minima of sets that aren't empty: a row for each, BITS bits in each slot."""
     v = (x >> U64(32)).astype(np.uint32)
-    out = np.empty((len(at) - 1, CHUNKS * SLOTS), np.uint16)
-    for j in range(out.shape[1]):
+    out = np.empty((len(at) - 1, size), np.uint16)
+    for j in range(size):
         out[:, j] = np.minimum.reduceat((v ^ _R[0, j]) * (_R[1, j] | np.uint32(1)), at[:-1]) >> np.uint32(32 - BITS)
     return out
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """All keys of each signature: CHUNKS * SLOTS of 64 bits."""
-    slot = np.arange(CHUNKS * SLOTS, dtype=U64)
-    h = kernel.mix(sig.astype(U64) + (slot + U64(1)) * U64(0x9E3779B97F4A7C15)).reshape(len(sig), CHUNKS, SLOTS)
-    return kernel.mix(h.sum(2, keepdims=True, dtype=U64) - h + slot.reshape(CHUNKS, SLOTS)).reshape(len(sig), -1)
-
-
-def _describe(batches):
-    """Rows of ``_SETS``. In a batch, the first of equal sets alone has keys."""
-    for b in batches:
-        ids = b.column(0)
-        data, offs = kernel.buffers(b.column(1))
-        for lo, hi in kernel.groups(offs):
-            x, at = unique_sets(*shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
-            n = np.diff(at)
-            some = np.flatnonzero(n)
-            d = np.zeros((2, hi - lo), U64)
-            keys: list[bytes | None] = [None] * (hi - lo)
-            if len(some):
-                starts = at[:-1][some]
-                d[0, some] = np.add.reduceat(kernel.mix(x), starts)
-                d[1, some] = np.add.reduceat(kernel.mix(x ^ U64(0x5851F42D4C957F2D)), starts)
-                mine = ids[lo:hi].is_valid().to_numpy(zero_copy_only=False)
-                first = {}
-                for i in some.tolist():
-                    if mine[i]:
-                        k = (int(d[0, i]), int(d[1, i]), int(n[i]))
-                        if k not in first or ids[lo + i].as_py() < ids[lo + first[k]].as_py():
-                            first[k] = i
-                chosen = np.array(sorted(first.values()), np.int64)
-                if len(chosen):
-                    sub = x[kernel.spans(at[:-1][chosen], n[chosen])]
-                    got = chunk_keys(signatures(sub, np.concatenate([[0], np.cumsum(n[chosen])])))
-                    for i, k in zip(chosen.tolist(), got, strict=True):
-                        keys[i] = k.tobytes()
-            yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(n, pa.int64()), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "keys"])
+def chunk_keys(sig: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """All keys of each signature, one for each slot, of 64 bits."""
+    slot = np.arange(sig.shape[1], dtype=U64)
+    h = kernel.mix(sig.astype(U64) + (slot + U64(1)) * U64(0x9E3779B97F4A7C15)).reshape(len(sig), -1, slots)
+    return kernel.mix(h.sum(2, keepdims=True, dtype=U64) - h + slot.reshape(-1, slots)).reshape(len(sig), -1)
+
+
+def _describe(chunks: int, slots: int):
+    """Rows of ``_SETS``. Leaders alone (lead = doc_id, first row of their class in the task) have keys."""
+
+    def run(batches):
+        leads: dict[tuple[int, int, int], int] = {}
+        for b in batches:
+            ids = b.column(0)
+            data, offs = kernel.buffers(b.column(1))
+            for lo, hi in kernel.groups(offs):
+                x, at = unique_sets(*shingles(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
+                n = np.diff(at)
+                some = np.flatnonzero(n)
+                d = np.zeros((2, hi - lo), U64)
+                keys: list[bytes | None] = [None] * (hi - lo)
+                lead: list[int | None] = [None] * (hi - lo)
+                if len(some):
+                    starts = at[:-1][some]
+                    d[0, some] = np.add.reduceat(kernel.mix(x), starts)
+                    d[1, some] = np.add.reduceat(kernel.mix(x ^ U64(0x5851F42D4C957F2D)), starts)
+                    if len(leads) > LEADERS:
+                        leads.clear()
+                    doc, chosen = ids[lo:hi].to_pylist(), []
+                    for i in some.tolist():
+                        if doc[i] is not None:
+                            k = (int(d[0, i]), int(d[1, i]), int(n[i]))
+                            if k not in leads:
+                                leads[k] = doc[i]
+                                chosen.append(i)
+                            lead[i] = leads[k]
+                    if chosen:
+                        pick = np.array(chosen, np.int64)
+                        sub = x[kernel.spans(at[:-1][pick], n[pick])]
+                        got = chunk_keys(signatures(sub, np.concatenate([[0], np.cumsum(n[pick])]), chunks * slots), slots)
+                        for i, k in zip(chosen, got, strict=True):
+                            keys[i] = k.tobytes()
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(n, pa.int64()), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), pa.array(lead, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "lead", "keys"])
+
+    return run
 
 
 def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +159,7 @@ def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def _deal_keys(n_keys: int):
     def send(parts):
         key = np.concatenate([np.frombuffer(k, U64) for k, _ in parts])
-        doc = np.repeat(np.array([d for _, d in parts], np.int64), CHUNKS * SLOTS)
+        doc = np.repeat(np.array([d for _, d in parts], np.int64), len(key) // len(parts))
         key, doc, a, b = _stars(key, doc)
         cell = (key % U64(n_keys)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
@@ -143,7 +175,7 @@ def _deal_keys(n_keys: int):
         for b in batches:
             for k, d in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
                 parts.append((k, d))
-                if len(parts) * CHUNKS * SLOTS >= 1 << 20:
+                if len(parts) * len(k) >= 1 << 23:
                     yield send(parts)
                     parts = []
         if parts:
@@ -268,39 +300,51 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = partitions(docs)
     n_keys = n * KEYS_PER_PARTITION
-    sets = cut(docs.mapInArrow(_describe, _SETS))
-    known = sets.where("doc_id is not null and n_shingles > 0")
-    least = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b < top").drop("top")
-    least = cut(least)  # so that both sides of the join are shuffled for it alone and a hot class can be split
-    same = known.select("doc_id", "d1", "d2", "n_shingles").join(least, ["d1", "d2", "n_shingles"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    sets = cut(docs.mapInArrow(_describe(*shape(percent)), _SETS))
+    known = sets.where("lead is not null")
+    local = known.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    leaders = known.where("keys is not null").select("doc_id", "n_shingles", "d1", "d2")
+    least = leaders.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b < top").drop("top")
+    same = cut(leaders.join(least, ["d1", "d2", "n_shingles"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
     keyed = sets.where("keys is not null").select("doc_id", "keys")
     edges = deal(keyed.mapInArrow(_deal_keys(n_keys), PACKED), n).mapInArrow(_meet(n), PACKED)
-    coarse = graph.components(deal(edges, n).mapInArrow(_once, graph.EDGES))
+    coarse = graph.components(deal(edges, n).mapInArrow(_once, graph.EDGES).unionByName(same))
     members = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
-    sizes = cut(keyed_sizes(known, members))
-    blocks = sizes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    blocks = cut(blocks)  # as above: a hot cluster is split
-    placed = cut(sizes.join(blocks, "root").select(F.col("node").alias("doc_id"), "root", "blocks").distinct())
-    texts = docs.join(placed.hint("shuffle_hash"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sizes = leaders.select(F.col("doc_id").alias("node"), "n_shingles").join(members, "node").join(same.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+    sizes = cut(sizes)
+    blocks = sizes.groupBy("root").agg(F.count("*").alias("docs"), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = cut(blocks.where("docs > 1 or blocks > 1").drop("docs"))
+    # clusters of one representative have nothing to compare; where few are left, no row has to travel to learn its cluster's blocks
+    few = blocks.count() <= BROADCAST_ROWS
+    placed = cut(sizes.join(F.broadcast(blocks) if few else blocks, "root").select(F.col("node").alias("doc_id"), "root", "blocks").distinct())
+    texts = docs.where("doc_id is not null").join(placed.hint("shuffle_hash"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     texts = texts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.select("root", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), (F.col("block") > F.col("k")).cast("int").alias("side"), "doc_id", "text")
     texts = texts.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
     close = texts.mapInArrow(_confirm(percent), graph.EDGES)
-    roots = graph.components(close.unionByName(same))
-    out = sets.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.col("root").isNull() | (F.col("root") == F.col("doc_id"))).alias("kept"))
-
-
-def keyed_sizes(known: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, root, n_shingles) of the documents that stand for a set in a coarse cluster."""
-    return known.where("keys is not null").select(F.col("doc_id").alias("node"), "n_shingles").join(members, "node")
+    roots = graph.components(close.unionByName(same).unionByName(local))
+    numbered = sets.where("doc_id is not null").select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id", "left")
+    out = numbered.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.col("root").isNull() | (F.col("root") == F.col("doc_id"))).alias("kept"))
+    unnumbered = sets.where("doc_id is null")  # apart, so that they don't all meet in the join
+    return out.unionByName(unnumbered.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; repeated rows once. All columns are returned."""
+    """One document of each group stays, that with the smallest doc_id. All columns are returned.
+
+    Rows that share doc_id and text are one document: the row stays whose other columns, as JSON, come first. Rows that share a
+    doc_id alone are different texts and stay or go together. Rows without a doc_id all stay.
+    """
     gone = links(docs, percent).where("not kept").select("doc_id").distinct()
-    rest = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    return rest.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    named = docs.where("doc_id is not null")
+    rest = named.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if others:
+        row = F.struct(*others)
+        rest = rest.groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("__row")).select("doc_id", "text", "__row.*")
+    else:
+        rest = rest.distinct()
+    return rest.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
