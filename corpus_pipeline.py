@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage is a function (spark, docs, sf_dir) that works on all rows its predecessor kept. All but the last return
-the columns of ``documents``. A stage's result is written before the next one reads it.
+the columns of ``documents``, extra ones included, whatever they are called. A stage's result is written before the next one
+reads it. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -12,28 +13,35 @@ from marlstone.llm import decontaminate, minhash, packing, pii, quality
 from marlstone.llm.session import cut, prepare, table
 
 
+#: percent of five-word shingles that near-duplicates share
+NEAR = 80
+
+
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network rejects go."""
+    """Documents that the quality network rejects go. Null texts count as empty; repeated rows are judged alike."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id."""
-    return minhash.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates stays: that with the smallest doc_id.
+
+    Texts without words are linked with nothing and stay, as do rows without a doc_id. Rows that share doc_id and text are one.
+    """
+    return minhash.drop_near_duplicates(docs, NEAR)
 
 
 def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null texts and rows without a doc_id hold none and stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in a text gives way to its kind; no document goes."""
+    """Personal data in a text gives way to its kind; no document goes, null texts stay null, n_chars follows the text."""
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, packed into sequences."""
+    """Token pieces of all documents, packed into sequences; a null text is an end mark alone, repeated rows are packed each by itself."""
     return packing.pack(packing.pieces(docs, with_ids=False)).drop("ids")
 
 
