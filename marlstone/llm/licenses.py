@@ -2,12 +2,15 @@
 
 A text is split into sentences (an end mark and white space, or an empty line; line breaks and comment leaders inside a
 sentence are white space). A sentence that holds a cue word is normalised: A-Z in lower case, quotes, commas and brackets
-to spaces. The first known pattern found in it gives its identifier, some with an argument such as a version. The identifiers
-of a text, in order, are matched against ordered rules: leftmost first, at one place the earlier rule, so that a
+to spaces. A sentence of a licence's own text has that one identifier; any other has all notices and mentions in it, by their
+place, some with an argument such as a version. Licences known by a short name (MIT, Apache, ISC, BSD) count where a word of
+granting comes before them in the sentence. The identifiers of a text, in order, with runs of copyright and
+reservation lines taken as one, are matched against ordered rules: leftmost first, at one place the earlier rule, so that a
 whole licence text goes before a notice and a notice before a mention. What no rule takes is reported, too.
 
-Everything is a column expression over one row: no shuffle, no Python. Nulls are empty texts and hold nothing; rows without
-a doc_id are kept; repeated rows are judged alike; an empty table gives an empty result. Extra columns are ignored.
+Everything is a column expression over one row: no shuffle, no Python. Time is linear in the text, whatever it repeats and
+however long it is. Nulls are empty texts and hold nothing; rows without a doc_id are kept; repeated rows are judged alike; an
+empty table gives an empty result. Extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -19,18 +22,16 @@ from marlstone.llm.session import table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEADERS = r"\n[ \t]*(?:/\*+|\*+/?|//+|#+|--+|%+|>+|;+)?[ \t]*"
 ENDS = r"""[.!?]+["')\]]*[ \t\n]+|\n\n+"""
-#: the words by which the SQL picks sentences; it knows no licence that is named without one of them
-CUE = r"licen[sc]|copyright|©|spdx|warrant|permission|redistribut|reserved|domain|cc0|liable|mpl|advertising|endorse"
 #: a sentence without one of these has no identifier: each match of a pattern below holds one, before it is normalised, too
-CUES = CUE + r"|gpl|commons|\bcc[^a-z0-9]+by"
+CUES = r"licen[sc]|copyright|©|spdx|warrant|permission|redistribut|reserved|domain|cc0|liable|mpl|advertising|endorse|gpl|commons|\bcc[^a-z0-9]+by"
 DROPPED = r"""[\x20\t\n"'`*,()<>\[\]{}=“”„«»‘’]+"""
 #: read like sentences with another spelling
 SPELLED = ((r"creative commons attribution", "cc by"), (r"creative commons zero", "cc0"), (r"[ -]non-?commercial", "-nc"), (r"[ -]share-?alike", "-sa"), (r"[ -]no-?deriv(?:ative)?s(?: works)?", "-nd"))
 GRANTED = r"(?:licen[sc]ed|released|distributed|available|published|provided|shared|dual-licensed|governed)"
 #: (identifier, pattern in the normalised sentence); a group is the identifier's argument. Earlier ones go first.
-SENTENCES = (
+#: Whole texts, sentence by sentence: one identifier a sentence.
+WHOLE = (
     ("spdx", r"spdx-license-identifier: ?([a-z0-9.+-]+(?: (?:or|and|with) [a-z0-9.+-]+)*)"),
-    # whole texts, sentence by sentence
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit_notice", r"the above copyright notice and this permission notice shall be included in all copies"),
     ("mit_asis", r"the software is provided as is without warranty of any kind"),
@@ -59,31 +60,42 @@ SENTENCES = (
     ("zlib_grant", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
     ("unlicense", r"free and unencumbered software released into the public domain"),
     ("boost_grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
-    # notices and mentions
-    ("agpl_later", r"(?s)gnu affero general public licen[sc]e.{0,80}version ([0-9](?:\.[0-9])?).{0,60}any later version"),
-    ("agpl", r"(?s)(?:gnu affero general public licen[sc]e|\bagpl).{0,60}(?:version |v|[ -])([0-9](?:\.[0-9])?)"),
-    ("lgpl_later", r"(?s)gnu (?:lesser|library) general public licen[sc]e.{0,80}version ([0-9](?:\.[0-9])?).{0,60}any later version"),
-    ("lgpl", r"(?s)(?:gnu (?:lesser|library) general public licen[sc]e|\blgpl).{0,60}(?:version |v|[ -])([0-9](?:\.[0-9])?)"),
-    ("gpl_later", r"(?s)gnu general public licen[sc]e.{0,80}version ([0-9](?:\.[0-9])?).{0,60}any later version"),
-    ("gpl", r"(?s)(?:gnu general public licen[sc]e|\bgpl).{0,60}(?:version |v|[ -])([0-9](?:\.[0-9])?)"),
+)
+#: notices and mentions: all in a sentence count
+FREE = (
+    ("agpl_later", r"(?s)gnu affero general public licen[sc]e.{0,80}?version ([0-9](?:\.[0-9])?).{0,60}?any later version"),
+    ("agpl", r"(?s)(?:gnu affero general public licen[sc]e|\bagpl).{0,60}?(?:version |v|[ -])([0-9](?:\.[0-9])?)"),
+    ("lgpl_later", r"(?s)gnu (?:lesser|library) general public licen[sc]e.{0,80}?version ([0-9](?:\.[0-9])?).{0,60}?any later version"),
+    ("lgpl", r"(?s)(?:gnu (?:lesser|library) general public licen[sc]e|\blgpl).{0,60}?(?:version |v|[ -])([0-9](?:\.[0-9])?)"),
+    ("gpl_later", r"(?s)gnu general public licen[sc]e.{0,80}?version ([0-9](?:\.[0-9])?).{0,60}?any later version"),
+    ("gpl", r"(?s)(?:gnu general public licen[sc]e|\bgpl).{0,60}?(?:version |v|[ -])([0-9](?:\.[0-9])?)"),
     ("cc0", r"\bcc0\b"),
     ("cc", r"\bcc[ -](by(?:-nc)?(?:-sa|-nd)?[ -]?(?:version |v)?(?:[0-9]\.[0-9])?)"),
-    ("apache", r"(?s)" + GRANTED + r".{0,60}\bapache(?: software)? licen[sc]e(?: version)? v?2"),
-    ("mit", r"(?s)" + GRANTED + r".{0,60}\bmit(?:/x11|/expat)? licen[sc]e"),
     ("mit_name", r"^(?:the )?mit licen[sc]e(?: mit)?\.?$"),
-    ("isc", r"(?s)" + GRANTED + r".{0,60}\bisc licen[sc]e"),
-    ("bsd_clauses", r"(?s)" + GRANTED + r".{0,60}\b([0-4])-clause bsd licen[sc]e"),
-    ("bsd", r"(?s)" + GRANTED + r".{0,60}\bbsd(?:[ -]([0-4])-clause)?(?:-style)? licen[sc]e"),
-    ("mpl", r"(?s)mozilla public licen[sc]e.{0,20}([12]\.[0-9])"),
-    ("epl", r"(?s)eclipse public licen[sc]e.{0,20}([12]\.0)"),
-    ("boost", r"(?s)boost software licen[sc]e.{0,20}1\.0"),
+    ("mpl", r"(?s)mozilla public licen[sc]e.{0,20}?([12]\.[0-9])"),
+    ("epl", r"(?s)eclipse public licen[sc]e.{0,20}?([12]\.0)"),
+    ("boost", r"(?s)boost software licen[sc]e.{0,20}?1\.0"),
     ("wtfpl", r"do what the fuck you want to public licen[sc]e"),
     ("public_domain", r"(?:dedicated to|released into|placed in|placed into|is in) the public domain"),
     ("copyright", r"copyright (?:c |© )?[0-9]{4}|©|^copyright "),
     ("reserved", r"all rights reserved"),
 )
-#: a bound keeps matching linear where a text says it thousands of times; the rest of such a run is left as it is
-_C = r"(?:<copyright:>|<reserved:>){0,20}"
+#: names that count after a word of granting in the same sentence
+NAMES = (
+    ("apache", r"\bapache(?: software)? licen[sc]e(?: version)? v?2"),
+    ("mit", r"\bmit(?:/x11|/expat)? licen[sc]e"),
+    ("isc", r"\bisc licen[sc]e"),
+    ("bsd_clauses", r"\b([0-4])-clause bsd licen[sc]e"),
+    ("bsd", r"\bbsd(?:[ -]([0-4])-clause)?(?:-style)? licen[sc]e"),
+)
+SENTENCES = (*WHOLE, *FREE, *NAMES)
+#: runs of these two as one of each, in three steps
+RUNS = (
+    (r"(?:<copyright:>)+", "<copyright:>"),
+    (r"(?:<reserved:>)+", "<reserved:>"),
+    (r"(?:<copyright:><reserved:>)+(?:<copyright:>)?|<reserved:><copyright:>(?:<reserved:><copyright:>)*(?:<reserved:>)?", "<copyright:><reserved:>"),
+)
+_C = r"(?:<copyright:>)?(?:<reserved:>)?"
 #: (licence, rule over identifiers). A + in the licence stands for the argument of the rule's first identifier.
 RULES = (
     ("MIT", r"(?:<mit_name:>)?" + _C + r"<mit_grant:><mit_notice:><mit_asis:>(?:<mit_liable:>)?"),
@@ -94,7 +106,7 @@ RULES = (
     ("BSD-2-Clause", _C + r"<bsd_redistribute:><bsd_source:><bsd_binary:>(?:<bsd_asis:>)?(?:<bsd_liable:>)?"),
     ("Zlib", _C + r"<zlib_asis:>(?:<zlib_grant:>)?"),
     ("Apache-2.0", r"(?:<apache:>)?<apache_comply:>(?:<apache_copy:>)?<apache_asis:>(?:<apache_see:>)?"),
-    ("Apache-2.0", r"<apache_title:>(?:<apache_comply:>|<apache_copy:>|<apache_asis:>|<apache_see:>|<apache:>){0,20}"),
+    ("Apache-2.0", r"<apache_title:>(?:<apache_comply:>|<apache_copy:>|<apache_asis:>|<apache_see:>|<apache:>)*"),
     ("AGPL-+-or-later", r"<agpl_later:[^>]*>(?:<gpl_hope:>)?(?:<gpl_details:>)?(?:<gpl_received:>)?"),
     ("LGPL-+-or-later", r"<lgpl_later:[^>]*>(?:<gpl_hope:>)?(?:<gpl_details:>)?(?:<gpl_received:>)?"),
     ("GPL-+-or-later", r"<gpl_later:[^>]*>(?:<gpl_hope:>)?(?:<gpl_details:>)?(?:<gpl_received:>)?"),
@@ -121,6 +133,13 @@ RULES = (
 #: a sentence that speaks of a licence and has no identifier counts as unknown
 UNKNOWN = r"(?s)licen[sc]ed under|under the .{0,80}licen[sc]e"
 _ANY = "|".join(f"(?:{r})" for _, r in RULES)
+
+
+def _java(pattern: str) -> str:
+    """Repeated groups take what they can and give nothing back: no stack however long the run is."""
+    return pattern.replace(")*", ")*+").replace(")+", ")++")
+
+
 _VERSION = ("agpl", "agpl_later", "lgpl", "lgpl_later", "gpl", "gpl_later")
 #: names as they are written, for identifiers that come in lower case
 _NAMED = tuple(dict.fromkeys(x for x, _ in RULES if "+" not in x and x.isascii()))
@@ -146,17 +165,32 @@ def _argument(name: str, x: Column) -> Column:
     return F.replace(F.rtrim(x, F.lit(".")), F.lit(" "), F.lit("_")) if name == "spdx" else x
 
 
-def _identifier(s: Column) -> Column:
+def _identifier(s: Column, table) -> Column:
+    """The first pattern of a table that is found, as an identifier; null if none is."""
     out = None
-    for name, pattern in SENTENCES:
+    for name, pattern in table:
         value = F.lit(f"<{name}:>")
         if _grouped(pattern):
             value = F.concat(F.lit(f"<{name}:"), _argument(name, F.regexp_extract(s, pattern, 1)), F.lit(">"))
-            if name == "bsd":  # its argument may be absent
-                value = F.concat(F.lit("<bsd:"), F.regexp_extract(s, pattern, 1), F.lit(">"))
         test = F.rlike(s, F.lit(pattern))
         out = F.when(test, value) if out is None else out.when(test, value)
-    return out.when(F.rlike(s, F.lit(UNKNOWN)), F.lit("?"))
+    return out
+
+
+def _every(table) -> str:
+    """All patterns of a table as one."""
+    return "|".join(f"(?:{p})" for _, p in table)
+
+
+def _identifiers(s: Column) -> Column:
+    """A sentence's identifiers; ? for one that speaks of a licence and has none."""
+    tail = F.regexp_extract(s, f"(?s)^.*?{GRANTED}(.*)$", 1)
+    at = F.length(s) - F.length(tail)
+    place = lambda text, table, shift: F.transform(F.regexp_extract_all(text, F.lit(_every(table)), F.lit(0)), lambda m: F.struct((shift + F.instr(text, m)).alias("p"), _identifier(m, table).alias("v")))
+    some = F.transform(F.array_sort(F.concat(place(s, FREE, F.lit(0)), place(tail, NAMES, at))), lambda x: x["v"])
+    whole = _identifier(s, WHOLE)
+    none = F.when(F.rlike(s, F.lit(UNKNOWN)), F.array(F.lit("?"))).otherwise(F.array().cast("array<string>"))
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.when(F.size(some) > 0, some).otherwise(none))
 
 
 def _licence(x: Column) -> Column:
@@ -174,7 +208,7 @@ def _licence(x: Column) -> Column:
             value = F.concat(F.lit(a), F.translate(argument, LOWER, UPPER), F.lit(b))
         else:
             value = F.lit(licence)
-        test = F.rlike(x, F.lit(f"^(?:{rule})$"))
+        test = F.rlike(x, F.lit(f"^(?:{_java(rule)})$"))
         out = F.when(test, value) if out is None else out.when(test, value)
     return out
 
@@ -185,14 +219,17 @@ def scan(docs: DataFrame) -> DataFrame:
     flat = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), LEADERS, "\n")
     low = F.transform(F.split(flat, ENDS, -1), lambda s: F.translate(s, UPPER, LOWER))
     cued = F.filter(low, lambda s: F.rlike(s, F.lit(CUES)))
-    found = F.filter(F.transform(cued, lambda s: _identifier(_normal(s))), lambda x: x.isNotNull())
+    found = F.flatten(F.transform(F.transform(cued, _normal), _identifiers))
     found = F.when(F.rlike(text, F.lit(f"(?i){CUES}")), found).otherwise(F.array().cast("array<string>"))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
     known = F.filter("found", lambda x: x != "?")
     df = df.select("doc_id", known.alias("sentences"), (F.size("found") - F.size(known)).cast("long").alias("n_unknown"))
-    df = df.withColumn("line", F.array_join("sentences", ""))
-    taken = F.regexp_extract_all("line", F.lit(f"({_ANY})"), 1)
-    rest = F.regexp_replace("line", _ANY, "")
+    line = F.array_join("sentences", "")
+    for a, b in RUNS:
+        line = F.regexp_replace(line, _java(a), b)
+    df = df.withColumn("line", line)
+    taken = F.regexp_extract_all("line", F.lit(f"({_java(_ANY)})"), 1)
+    rest = F.regexp_replace("line", _java(_ANY), "")
     return df.select("doc_id", "sentences", F.transform(taken, _licence).alias("licences"), rest.alias("rest"), "n_unknown")
 
 
@@ -200,17 +237,12 @@ def _sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def sql() -> str:
-    """DuckDB SQL with the rows of ``op2``, written from the same tables."""
-    q = _sql_text
-    normal = f"trim(regexp_replace(s, {q(DROPPED)}, ' ', 'g'), ' ')"
-    for a, b in SPELLED:
-        normal = f"regexp_replace({normal}, {q(a)}, {q(b)}, 'g')"
-    cases = []
-    for name, p in SENTENCES:
+def _sql_identifier(s: str, table) -> str:
+    q, cases = _sql_text, []
+    for name, p in table:
         value = q(f"<{name}:>")
         if _grouped(p):
-            x = f"regexp_extract(s, {q(p)}, 1)"
+            x = f"regexp_extract({s}, {q(p)}, 1)"
             if name in _VERSION:
                 x = f"CASE WHEN contains({x}, '.') THEN {x} ELSE {x} || '.0' END"
             elif name == "cc":
@@ -218,8 +250,25 @@ def sql() -> str:
             elif name == "spdx":
                 x = f"replace(rtrim({x}, '.'), ' ', '_')"
             value = f"'<{name}:' || {x} || '>'"
-        cases.append(f"WHEN regexp_matches(s, {q(p)}) THEN {value}")
-    cases.append(f"WHEN regexp_matches(s, {q(UNKNOWN)}) THEN '?'")
+        cases.append(f"WHEN regexp_matches({s}, {q(p)}) THEN {value}")
+    return f"CASE {' '.join(cases)} END"
+
+
+def sql() -> str:
+    """DuckDB SQL with the rows of ``op2``, written from the same tables."""
+    q = _sql_text
+    normal = f"trim(regexp_replace(s, {q(DROPPED)}, ' ', 'g'), ' ')"
+    for a, b in SPELLED:
+        normal = f"regexp_replace({normal}, {q(a)}, {q(b)}, 'g')"
+    tail = f"regexp_extract(s, {q(f'(?s)^.*?{GRANTED}(.*)$')}, 1)"
+    place = lambda text, table, shift: f"list_transform(regexp_extract_all({text}, {q(_every(table))}, 0), lambda m: {{'p': {shift} + strpos({text}, m), 'v': {_sql_identifier('m', table)}}})"
+    some = f"list_transform(list_sort(list_concat({place('s', FREE, '0')}, {place(tail, NAMES, f'length(s) - length({tail})')})), lambda y: y.v)"
+    unknown = f"CASE WHEN regexp_matches(s, {q(UNKNOWN)}) THEN ['?'] ELSE [] END"
+    whole = _sql_identifier("s", WHOLE)
+    every = f"CASE WHEN ({whole}) IS NOT NULL THEN [{whole}] WHEN len({some}) > 0 THEN {some} ELSE {unknown} END"
+    run = "array_to_string(list_filter(found, lambda x: x <> '?'), '')"
+    for a, b in RUNS:
+        run = f"regexp_replace({run}, {q(a)}, {q(b)}, 'g')"
     argument = "regexp_extract(x, '^<[a-z_0-9]+:([^>]*)>', 1)"
     plain = f"replace({argument}, '_', ' ')"
     named = "CASE " + " ".join(f"WHEN {plain} = {q(n.lower())} THEN {q(n)}" for n in _NAMED) + f" ELSE translate({plain}, '{LOWER}', '{UPPER}') END"
@@ -237,14 +286,14 @@ def sql() -> str:
     flat = f"regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', {nl}, 'g'), {q(LEADERS)}, {nl}, 'g')"
     return f"""
 WITH cued AS (
-  SELECT doc_id, list_transform(list_filter(list_transform(string_split_regex({flat}, {q(ENDS)}), lambda s: translate(s, '{UPPER}', '{LOWER}')), lambda s: regexp_matches(s, {q(CUE)})), lambda s: {normal}) AS cued FROM documents
+  SELECT doc_id, list_transform(list_filter(list_transform(string_split_regex({flat}, {q(ENDS)}), lambda s: translate(s, '{UPPER}', '{LOWER}')), lambda s: regexp_matches(s, {q(CUES)})), lambda s: {normal}) AS cued FROM documents
 ), found AS (
-  SELECT doc_id, list_filter(list_transform(cued, lambda s: CASE {' '.join(cases)} END), lambda x: x IS NOT NULL) AS found FROM cued
+  SELECT doc_id, flatten(list_transform(cued, lambda s: {every})) AS found FROM cued
 ), line AS (
-  SELECT doc_id, list_filter(found, lambda x: x <> '?') AS sentences, len(found) AS n_found, array_to_string(list_filter(found, lambda x: x <> '?'), '') AS line FROM found
+  SELECT doc_id, list_filter(found, lambda x: x <> '?') AS sentences, len(found) AS n_found, array_to_string(list_filter(found, lambda x: x <> '?'), '') AS line, {run} AS runs FROM found
 )
-SELECT CAST(doc_id AS BIGINT) AS doc_id, array_to_string(list_transform(regexp_extract_all(line, {q(f'({_ANY})')}, 1), lambda x: CASE {' '.join(rules)} END), ',') AS licences,
-  line AS sentences, regexp_replace(line, {q(_ANY)}, '', 'g') AS rest, CAST(len(sentences) AS BIGINT) AS n_sentences, CAST(n_found - len(sentences) AS BIGINT) AS n_unknown
+SELECT CAST(doc_id AS BIGINT) AS doc_id, array_to_string(list_transform(regexp_extract_all(runs, {q(f'({_ANY})')}, 1), lambda x: CASE {' '.join(rules)} END), ',') AS licences,
+  line AS sentences, regexp_replace(runs, {q(_ANY)}, '', 'g') AS rest, CAST(len(sentences) AS BIGINT) AS n_sentences, CAST(n_found - len(sentences) AS BIGINT) AS n_unknown
 FROM line"""
 
 

@@ -119,7 +119,7 @@ def shortest(tree):
             more = [chr(arg)]
         elif op == "IN":
             more = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
-        elif op == "MAX_REPEAT":
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
             more = [x * arg[0] for x in shortest(arg[2])] if arg[0] else [""]
         elif op == "SUBPATTERN":
             more = shortest(arg[3])
@@ -145,3 +145,31 @@ def test_names_without_other_cues(spark):
     }
     got = licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
     assert {list(cases)[r.doc_id]: list(r.licences) for r in got} == cases
+
+
+#: (text, licences): read by hand, not by the tables
+READ = [
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+    ("licensed under the MIT license or the Apache License 2.0", ["MIT", "Apache-2.0"]),
+    ("Dual-licensed under the MIT License and the GNU General Public License, version 2.", ["MIT", "GPL-2.0"]),
+    ("Available under CC BY 3.0 and CC BY-SA 4.0.", ["CC-BY-3.0", "CC-BY-SA-4.0"]),
+    ("Released under the 2-clause BSD license, the ISC license or the Mozilla Public License 2.0", ["BSD-2-Clause", "ISC", "MPL-2.0"]),
+    ("This code is distributed under LGPL-2.1 or GPL version 3", ["LGPL-2.1", "GPL-3.0"]),
+    ("An MIT license was mentioned, nobody granted a thing.", []),
+    ("Copyright 1999 X all rights reserved", ["All-Rights-Reserved"]),
+    ("Copyright 2001 A.\n\n" * 25 + "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.", ["ISC"]),
+    ("Copyright 2001 A. All rights reserved. " * 9000 + "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.", ["ISC"]),
+    ("Apache License Version 2.0, January 2004. " + "See the License for the specific language governing permissions. " * 30_000, ["Apache-2.0"]),
+]
+
+
+def test_read_by_hand(spark, tmp_path):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(READ)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert [list(got[i].licences) for i in range(len(READ))] == [x for _, x in READ]
+    assert all(got[i].rest == "" for i in (8, 9, 10))
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    rel = con.sql(licenses.sql())
+    assert sorted(map(tuple, licenses.op2(spark, str(tmp_path)).select(*rel.columns).collect())) == sorted(rel.fetchall())
