@@ -90,3 +90,103 @@ def test_long_texts_take_linear_time(big):
         pii.base_spans(x)
         pii.candidates(x, [])
     assert time.time() - t < 20
+
+
+def test_spans_have_no_longest_length():
+    for n in (8, 513, 1200, 50_000):
+        secret = "aZ3" * n
+        text = f"x secret={secret} y"
+        assert [(k, text[a:b]) for k, a, b, _ in pii.candidates(text, [])] == [("secret", secret)]
+        text = f"see ghp_{secret}."
+        assert [(k, text[a:b]) for k, a, b, _ in pii.candidates(text, [])] == [("secret", f"ghp_{secret}")]
+        name, host = "n" * n, "h" * n
+        text = f"to {name} [at] {host} [dot] com."
+        assert [(k, text[a:b]) for k, a, b, _ in pii.candidates(text, [])] == [("email", f"{name} [at] {host} [dot] com")]
+
+
+@pytest.mark.parametrize("key", ["access_token", "client_secret", "AWS_SECRET_ACCESS_KEY", "api-key", "dbPassword", "secret_key", "AUTH_TOKEN_V2", "pwd", "token"])
+def test_names_of_secrets(key):
+    text = f"set {key}: 'q8Zr51kWm0pXc7' here"
+    assert [(k, text[a:b]) for k, a, b, _ in pii.candidates(text, [])] == [("secret", "q8Zr51kWm0pXc7")]
+
+
+def test_overlaps_against_brute_force():
+    import random
+
+    r = random.Random(6)
+    parts = ["123-45-6789", "212-555-0147", "token=abcdefgh12345678", "4111 1111 1111 1111", "a@b.com", "DE89 3704 0044 0532 0130 00", "0044 20 7946 0958", "1.2.3.4", "secret: 123-45-6789", " ", "x", "-"]
+    for _ in range(400):
+        text = "".join(r.choices(parts, k=12))
+        base = pii.base_spans(text)
+        found = []
+        for kind, pattern, *_ in (*pii._MORE, *pii._DIGITS):
+            found += [(m.start(1), m.end(1), kind) for m in pattern.finditer(text)]
+        taken, want = [(a, b) for _, a, b in base], []
+        for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1], pii.KINDS.index(x[2]))):
+            if not any(a < d and c < b for c, d in taken):
+                want.append((kind, a, b))
+                taken.append((a, b))
+        assert [x[:3] for x in pii.candidates(text, base)] == want
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 32_000):
+        text = "call 212-555-0147 or token=abcdefgh12345678 " * n
+        t = time.time()
+        assert len(pii.candidates(text, pii.base_spans(text))) == 2 * n
+        took.append(time.time() - t)
+    assert took[1] < 24 * took[0]
+
+
+def test_classifier_does_not_depend_on_size():
+    counts = {("secret", "+++++|22211"): 5, ("secret", "-0--+|10001"): 7, ("phone", "+0+++|21110"): 11, ("phone", "--0-+|00100"): 3}
+    small, big = pii.classifier({k: 100 * c for k, c in counts.items()}), pii.classifier({k: 10**8 * c for k, c in counts.items()})
+    assert all(abs(small[k] - big[k]) < 0.03 and (small[k] > 0.5) == (big[k] > 0.5) for k in counts)
+    assert small["secret", "+++++|22211"] > 0.5 > small["secret", "-0--+|10001"]
+
+
+def planted(seed, n=1500):
+    """Texts with spans that are meant, and with others that only look alike. Returns (texts, meant spans)."""
+    import random
+
+    r = random.Random(seed)
+    hexa = lambda k: "".join(r.choices("0123456789abcdef", k=k))
+    digits = lambda k: "".join(r.choices("0123456789", k=k))
+    texts, meant = [], []
+    for i in range(n):
+        kind = r.randrange(8)
+        if kind == 0:
+            head, span, ok = r.choice(["token = ", "api_key: ", "client_secret="]), hexa(40), True
+        elif kind == 1:
+            head, span, ok = "the secret: ", r.choice(["everybody", "somewhere", "naturally", "diligence"]), False
+        elif kind == 2:
+            head, span, ok = "her ssn is ", f"{r.randint(1, 665):03}-{r.randint(10, 99)}-{r.randint(1000, 9999)}", True
+        elif kind == 3:
+            head, span, ok = "part no ", f"000-00-{digits(4)}", False
+        elif kind == 4:
+            head, span, ok = "call me at phone ", f"{r.randint(200, 989)}-{r.randint(200, 999)}-{digits(4)}", True
+        elif kind == 5:
+            head, span, ok = "write to mail ", f"jane{i} [at] example [dot] com", True
+        elif kind == 6:
+            bban = digits(18)
+            check = 98 - int(bban + "131400") % 97
+            head, span, ok = "bank account iban ", f"DE{check:02}{bban}", True
+        else:
+            head, span, ok = "serial ", f"XK{digits(2)}{''.join(r.choices('ABCDEFGHJK0123456789', k=16))}", False
+        texts.append(f"It was said {head}{span} and then more.")
+        meant.append((len("It was said " + head), len("It was said " + head + span)) if ok else None)
+    return texts, meant
+
+
+def test_precision_and_recall_on_planted_spans(spark):
+    texts, meant = planted(3)
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    spans = {r.doc_id: {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x} for r in got}
+    hit = sum(m is not None and m in spans[i] for i, m in enumerate(meant))
+    wrong = sum(len(s - {meant[i]}) for i, s in spans.items())
+    recall, precision = hit / sum(m is not None for m in meant), hit / (hit + wrong)
+    print(f"recall {recall:.3f} precision {precision:.3f}")
+    assert recall > 0.95 and precision > 0.9
