@@ -3,31 +3,36 @@
 Only vectors of one label and one length are compared. Equal rows of components are one class with a count. Every
 vector has a home cell, that of its nearest centroid, and visits each cell that could hold a neighbour: where y's home is
 c' and x's is c, y lies beyond the bisector of c and c', so x can reach it only if its own distance to that plane is at
-most the sine of the largest angle allowed. Each visit compares the vector with the cell's home vectors by
-matrix products in double precision; visitors come in blocks, so no task holds more than a block and a cell. A
-task returns sums and a spanning forest of its links.
-
-k-means is fitted on at most SAMPLE vectors (smallest hashes of their ids); it decides where work is done, never what is
-linked. A null label, a null, zero-length or zero vector, and null or non-finite components link with nothing. Each row
+most the sine of the largest angle allowed. Visitors of a cell are compared with its home vectors by matrix products in
+double precision. Both come in blocks, each pair of which is a group of its own, so no task holds more than two
+blocks however large or hot a cell is. A task returns sums and a spanning forest of its links.
+
+k-means is fitted on at most SAMPLE vectors or SAMPLE_BYTES (smallest hashes of their ids); it decides where work is done, never
+what is linked. There are at most MAX_CELLS cells; beyond it cells grow, in blocks. Vectors without structure, all about
+at right angles, visit every cell: exact counts of links then take work of the square of a label's vectors, as any exact way does.
+Vectors of another length than the commonest share one cell of blocks. A null label, a null, zero-length or zero vector, and null or non-finite components link with nothing. Each row
 counts as a vector; rows that share a vec_id share a component. A null vec_id has no links, a null component and is
-kept. Extra columns are ignored.
+kept. Ties (equal similarities, repeated rows) all count. Very long vectors are compared like others. An empty table gives an
+empty result. Extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from marlstone.llm import graph
 from marlstone.llm.session import cut, partitions, table
 
 COSINE = 0.93
-SAMPLE = 20_000
-CELL = 2000
+SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
+#: home vectors that a cell should have, cells at most, vectors of one side of a comparison at most
+CELL = 8192
 MAX_CELLS = 4096
-BLOCK = 4096
-_CLASS = "rep long, label string, dim int, n long, vec array<double>, home int, cells array<int>"
+BLOCK = 8192
+#: rows of a table that is broadcast, after they were counted
+BROADCAST_ROWS = 200_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -79,25 +84,25 @@ def _place(c: np.ndarray, cosine: float):
                 home[at] = h
                 for i, row in zip(at.tolist(), seen, strict=True):
                     cells[i] = np.flatnonzero(row).tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(cells, pa.list_(pa.int32()))], names=["rep", "label", "dim", "n", "vec", "home", "cells"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(cells, pa.list_(pa.int32()))], names=["rep", "label", "dim", "n", "vec", "cid", "home", "cells"])
 
     return run
 
 
 def _compare(cosine: float):
-    """Rows (label, dim, cell, block, side, rep, n, vec), homes (side 0) before visitors, to (a, links, null) and (a, null, b)."""
+    """Rows (label, dim, cell, i, j, side, rep, n, vec, cid), homes (side 0) before visitors, to (cid, links, null) and (rep, null, rep)."""
 
     def close(homes, guests):
         if not homes or not guests:
             return None
-        rep_h, n_h, h = (np.concatenate(x) for x in zip(*homes, strict=True))
-        rep_g, _, g = (np.concatenate(x) for x in zip(*guests, strict=True))
+        rep_h, n_h, h, cid_h = (np.concatenate(x) for x in zip(*homes, strict=True))
+        rep_g, _, g, cid_g = (np.concatenate(x) for x in zip(*guests, strict=True))
         h, g = unit(h), unit(g)
         links = np.zeros(len(g), np.int64)
         a, b = [], []
         for lo in range(0, len(g), 512):
             near = g[lo : lo + 512] @ h.T >= cosine
-            near &= rep_g[lo : lo + 512, None] != rep_h[None, :]
+            near &= cid_g[lo : lo + 512, None] != cid_h[None, :]
             links[lo : lo + 512] = near @ n_h
             p, q = np.nonzero(near)
             if len(p):
@@ -109,23 +114,23 @@ def _compare(cosine: float):
             return None
         x, y = graph.forest(np.concatenate(a), np.concatenate(b))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([rep_g[some], x])), pa.array([*links[some].tolist(), *[None] * len(x)], pa.int64()), pa.array([*[None] * len(some), *y.tolist()], pa.int64())],
+            [pa.array(np.concatenate([cid_g[some], x])), pa.array([*links[some].tolist(), *[None] * len(x)], pa.int64()), pa.array([*[None] * len(some), *y.tolist()], pa.int64())],
             names=["a", "links", "b"])
 
     def run(batches):
         now, sides = None, ([], [])
         for t in batches:
-            keys = list(zip(*(t.column(k).to_pylist() for k in range(5)), strict=True))
+            keys = list(zip(*(t.column(k).to_pylist() for k in range(6)), strict=True))
             at = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 if hi <= lo:
                     continue
-                if keys[lo][:4] != now:
+                if keys[lo][:5] != now:
                     if (out := close(*sides)) is not None:
                         yield out
-                    now, sides = keys[lo][:4], ([], [])
+                    now, sides = keys[lo][:5], ([], [])
                 part = t.slice(lo, hi - lo)
-                sides[keys[lo][4]].append((part.column(5).to_numpy(), part.column(6).to_numpy(), _matrix(part.column(7))))
+                sides[keys[lo][5]].append((part.column(6).to_numpy(), part.column(7).to_numpy(), _matrix(part.column(8)), part.column(9).to_numpy()))
         if (out := close(*sides)) is not None:
             yield out
 
@@ -135,36 +140,55 @@ def _compare(cosine: float):
 def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding, label)."""
     n = partitions(vectors)
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("label"))
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)  # travels as it is, half as wide
+    vec = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"), F.col("label").cast("string").alias("label"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & F.forall("vec", fine) & F.exists("vec", lambda x: x != 0)
     v = v.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
     rows = v.where("good")
     classes = rows.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
-    classes = cut(classes.select("rep", "label", F.size("vec").alias("dim"), "n", "vec", "h1", "h2"))
-    plain = classes.select("rep", "label", "dim", "n", "vec")
+    classes = cut(classes.select("rep", "label", F.size("vec").alias("dim"), "n", "vec", "h1", "h2", F.xxhash64("label", "h1", "h2").alias("cid")))
+    plain = classes.select("rep", "label", "dim", "n", "vec", "cid")
     most = plain.groupBy("label", "dim").count().orderBy(F.desc("count"), "label", "dim").first()
     if most:
-        k = int(min(MAX_CELLS, max(1, -(-most["count"] // CELL))))
-        sample = plain.where(F.col("dim") == most["dim"]).select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE if k > 1 else 1).collect()
-        c = k_means(unit(np.array([r.vec for r in sample])), k)
+        k = int(max(2, min(MAX_CELLS, -(-most["count"] // CELL))))
+        some = max(k, min(SAMPLE, SAMPLE_BYTES // (8 * most["dim"])))
+        sample = plain.where(F.col("dim") == most["dim"]).select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(some).collect()
+        c = k_means(unit(np.array([r.vec for r in sample], np.float64)), k)
     else:
         c = np.ones((1, 1))
-    placed = cut(plain.mapInArrow(_place(c, cosine), _CLASS))
-    guests = placed.withColumn("cell", F.explode("cells"))
-    blocks = guests.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    key = ["label", "dim", "cell", "block"]
-    guests = guests.join(blocks, ["label", "dim", "cell"]).select("label", "dim", "cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("side"), "rep", "n", "vec")
-    homes = placed.withColumn("cell", F.col("home")).join(blocks, ["label", "dim", "cell"]).select("label", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "rep", "n", "vec")
+    placed = cut(plain.mapInArrow(_place(c, cosine), f"rep long, label string, dim int, n long, vec {v.schema['vec'].dataType.simpleString()}, cid long, home int, cells array<int>"))
+    cell = ["label", "dim", "cell"]
+    homes, guests = placed.withColumn("cell", F.col("home")), placed.withColumn("cell", F.explode("cells"))
+    counts = homes.groupBy(*cell).agg(F.count("*").alias("h"), F.lit(0).alias("g")).unionByName(guests.groupBy(*cell).agg(F.lit(0).cast("long").alias("h"), F.count("*").alias("g")))
+    counts = cut(counts.groupBy(*cell).agg(F.ceil(F.sum("h") / BLOCK).cast("int").alias("hb"), F.ceil(F.sum("g") / BLOCK).cast("int").alias("gb")).where("hb > 0"))
+    if counts.count() <= BROADCAST_ROWS:
+        counts = F.broadcast(counts)
+    mine = lambda blocks: F.pmod(F.xxhash64("cid"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    homes = homes.join(counts, cell).select(*cell, mine("hb").alias("i"), every("gb").alias("j"), F.lit(0).alias("side"), "rep", "n", "vec", "cid")
+    guests = guests.join(counts, cell).select(*cell, every("hb").alias("i"), mine("gb").alias("j"), F.lit(1).alias("side"), "rep", "n", "vec", "cid")
+    key = [*cell, "i", "j"]
     met = homes.unionByName(guests).repartition(n, *key).sortWithinPartitions(*key, "side")
     met = cut(met.mapInArrow(_compare(cosine), "a long, links long, b long"))
-    sums = met.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
-    same = rows.join(classes.select("label", "h1", "h2", "rep"), ["label", "h1", "h2"]).where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    sums = met.where("links is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+    # copies learn of their class; where there are few classes of copies, their rows stay where they are, however many they are
+    copied = classes.where("n > 1").select("label", "h1", "h2", "rep", "n", "cid").join(sums, "cid", "left")
+    copied = cut(copied.select("label", "h1", "h2", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    few = copied.count() <= BROADCAST_ROWS
+    told = rows.select("vec_id", "label", "h1", "h2").join(F.broadcast(copied) if few else copied, ["label", "h1", "h2"], "left")
+    same = told.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    single = told.where("rep is null").select("vec_id", F.xxhash64("label", "h1", "h2").alias("cid")).join(sums, "cid", "left")
+    linked = told.where("rep is not null").select("vec_id", "n_links").unionByName(single.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links")))
     roots = graph.components(met.where("b is not null").select("a", "b").unionByName(same))
-    by_class = classes.select("label", "h1", "h2", "rep", "n").join(sums.withColumnRenamed("a", "rep"), "rep", "left").select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = v.where("good").join(by_class, ["label", "h1", "h2"]).select("vec_id", "n_links").unionByName(v.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links")))
+    named = v.where("not good and vec_id is not null").select("vec_id", F.lit(0).cast("long").alias("n_links"))
+    out = linked.unionByName(named)
     out = out.join(roots.withColumnRenamed("node", "vec_id").hint("shuffle_hash"), "vec_id", "left")
-    return out.select("vec_id", "n_links", F.coalesce("root", "vec_id").alias("component_id"), (F.col("root").isNull() | (F.col("root") == F.col("vec_id"))).alias("kept"))
+    out = out.select("vec_id", "n_links", F.coalesce("root", "vec_id").alias("component_id"), (F.col("root").isNull() | (F.col("root") == F.col("vec_id"))).alias("kept"))
+    none = v.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(none)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -54,6 +54,29 @@ def test_empty(spark):
     assert V.links(df).count() == 0
 
 
+def test_one_id_with_several_vectors_and_long_vectors(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    a, b = r.normal(size=(2, 5)).tolist()
+    rows = [(1, a, 0), (1, b, 1), (2, [x * 2 for x in a], 0), (3, b, 1), (3, a, 0), (4, b, 1), (1, a, 0)]
+    wide = r.normal(size=5000)
+    rows += [(20 + i, (wide + 0.1 * i * r.normal(size=5000)).tolist(), 0) for i in range(6)]
+    monkeypatch.setattr(V, "CELL", 2)
+    monkeypatch.setattr(V, "BLOCK", 2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, V.links(df).collect()), key=str) == brute(rows)
+
+
+def test_visits_grow_with_the_rows():
+    """Rows that travel to a comparison, at two sizes of a label in one block."""
+    r = np.random.default_rng(1)
+    sent = []
+    for n in (1000, 5000):
+        x = V.unit(r.normal(size=(n, 64)))
+        c = V.k_means(x, max(2, -(-n // V.CELL)))
+        sent.append(n + int(V.visits(x, c, V.COSINE)[1].sum()))
+    assert np.log(sent[1] / sent[0]) / np.log(5) < 1.1
+
+
 def test_visits_miss_nothing():
     r = np.random.default_rng(2)
     x = V.unit(np.repeat(r.normal(size=(300, 8)), 4, axis=0) + 0.12 * r.normal(size=(1200, 8)))
