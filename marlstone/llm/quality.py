@@ -5,10 +5,13 @@ bytes. Learned filters of 8 bytes slide over the whole text, 4 bytes at a time;
 over overlapping chunks of 512 bytes, the largest average over all chunks is taken for each filter, and a logistic unit
 combines these maxima into one probability. Nothing else of a row enters a score.
 
-The network is fitted on the driver on at most TRAIN_DOCS labelled rows (those with the smallest hashes of their ids),
-texts of over TRAIN_BYTES bytes left out, from rows that aren't held out: a sample whose size does not grow. Scoring covers
-every byte of every text. Null texts are empty; an empty text has all maxima 0. Rows are scored one by one, so repeated
-rows get equal scores and a null doc_id is kept (held_out false). Without usable labels every score is the prior, 0.5.
+The network is fitted on the driver on at most TRAIN_DOCS labelled rows (of those whose text has at most TRAIN_BYTES bytes,
+those with the smallest hashes of their ids) that aren't held out: a sample whose size does not grow. Scoring covers
+every byte of every text; one of any length is taken in segments that see what lies beside them, so segments and neighbours
+in a batch change nothing. Scores are computed in double precision and rounded to six places, so repeated rows get equal scores,
+ties included. Null texts are empty; an empty text has all maxima 0. A null doc_id is kept (held_out false). Of several labels of
+one doc_id the lowest counts. Without usable labels every score is the prior, 0.5. An empty table gives an empty result. Extra
+columns are ignored by ``score`` and returned by ``keep_good``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ THRESHOLD = 0.3
 D, FILTERS, STEP, BLOCK = 7, 24, 4, 64
 LAGS = range(3, 29)
 EPOCHS, RATE, BATCH = 5, 0.02, 32
+PLACES = 6
+#: steps of a long text that are taken at once, whole blocks
+SEGMENT = 1 << 16
 
 
 def layout(data: np.ndarray, offsets: np.ndarray):
@@ -36,11 +42,13 @@ def layout(data: np.ndarray, offsets: np.ndarray):
     x = np.zeros(int(first[-1]) * STEP, np.uint8)
     x[kernel.spans(first[:-1] * STEP, size)] = data
     again = np.zeros(len(x), bool)
+    inside = np.zeros(len(x), np.int32)  # a byte's place in its text: what stood before belongs to another
+    inside[kernel.spans(first[:-1] * STEP, size)] = kernel.spans(np.zeros(len(size), np.int64), size)
     if len(x) > 3:
         g = x[:-3].astype(np.uint32) | (x[1:-2].astype(np.uint32) << 8) | (x[2:-1].astype(np.uint32) << 16) | (x[3:].astype(np.uint32) << 24)
         for lag in LAGS:
             if len(g) > lag:
-                again[lag : len(g)] |= g[lag:] == g[:-lag]
+                again[lag : len(g)] |= (g[lag:] == g[:-lag]) & (inside[lag : len(g)] >= lag)
         again &= x != 0
     return x, again, first, steps
 
@@ -59,10 +67,14 @@ class Net:
     def weights(self):
         return [self.E, self.W, self.B, self.V, self.c]
 
-    def forward(self, data: np.ndarray, offsets: np.ndarray):
-        x, again, first, steps = layout(data, offsets)
-        n = len(steps)
-        wide = np.zeros((256, D + 1), np.float32)
+    def double(self) -> Net:
+        out = Net.__new__(Net)
+        out.E, out.W, out.B, out.V, out.c = (w.astype(np.float64) for w in self.weights())
+        return out
+
+    def act(self, x: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(inputs, rectified filter outputs) of each step."""
+        wide = np.zeros((256, D + 1), self.E.dtype)
         wide[:, :D] = self.E
         h = np.take(wide, x, axis=0)
         h[:, D] = again
@@ -71,19 +83,25 @@ class Net:
         act[:-1] += h[1:] @ self.W[1]
         act += self.B
         np.maximum(act, 0, out=act)
+        return h, act
+
+    def forward(self, data: np.ndarray, offsets: np.ndarray):
+        x, again, first, steps = layout(data, offsets)
+        n = len(steps)
+        h, act = self.act(x, again)
         some = steps > 0
         blocks = np.where(some, -(-steps // BLOCK), 0)
         start = np.repeat(first[:-1], blocks) + BLOCK * kernel.spans(np.zeros(n, np.int64), blocks)
         row = np.repeat(np.arange(n), blocks)
         size = np.minimum(BLOCK, np.repeat(first[:-1] + steps, blocks) - start)
-        top = np.zeros((n, FILTERS), np.float32)
+        top = np.zeros((n, FILTERS), act.dtype)
         arg = np.zeros((n, FILTERS), np.int64)
         if len(start):
             ends = start + size
             cut = np.stack([start, ends], 1).ravel()
-            sums = np.add.reduceat(np.concatenate([act, np.zeros((1, FILTERS), np.float32)]), cut, axis=0)[::2]
+            sums = np.add.reduceat(np.concatenate([act, np.zeros((1, FILTERS), act.dtype)]), cut, axis=0)[::2]
             pair = np.append(row[1:] == row[:-1], False)
-            both, count = sums.copy(), size.astype(np.float32)
+            both, count = sums.copy(), size.astype(act.dtype)
             nxt = np.flatnonzero(pair)
             both[nxt] += sums[nxt + 1]
             count = count.copy()
@@ -103,8 +121,30 @@ class Net:
         return top @ self.V + self.c, top, state
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        z = self.forward(data, offsets)[0].astype(np.float64)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        """Rounded probabilities; a text of more than SEGMENT steps is to be given alone."""
+        if len(offsets) == 2 and len(data) > SEGMENT * STEP:
+            z = self._long(data) @ self.V + self.c
+        else:
+            z = self.forward(data, offsets)[0]
+        return np.round(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))), PLACES)
+
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """Maxima of one long text: block sums segment by segment, each with the bytes beside it that its own steps look at."""
+        n = -(-len(data) // STEP)
+        before, after = -(-LAGS.stop // STEP) * STEP, 2 * STEP
+        sums, size = [], []
+        for lo in range(0, n, SEGMENT):
+            hi = min(n, lo + SEGMENT)
+            a = max(0, lo * STEP - before)
+            part = data[a : min(len(data), hi * STEP + after)]
+            x, again, _, _ = layout(part, np.array([0, len(part)]))
+            act = self.act(x, again)[1][lo - a // STEP : hi - a // STEP]
+            starts = np.arange(0, hi - lo, BLOCK)
+            sums.append(np.add.reduceat(act, starts, axis=0))
+            size.append(np.minimum(BLOCK, hi - lo - starts))
+        sums, size = np.concatenate(sums), np.concatenate(size)
+        mean = (sums[:-1] + sums[1:]) / (size[:-1] + size[1:])[:, None]
+        return np.maximum(mean.max(0), 0)
 
     def gradients(self, data, offsets, y, weight):
         z, top, state = self.forward(data, offsets)
@@ -115,13 +155,15 @@ class Net:
             return [np.zeros_like(self.E), np.zeros_like(self.W), np.zeros_like(self.B), gV, gc]
         x, h, act, start, size, pair, count, arg, some = state
         dtop = dz[:, None] * self.V[None, :]
+        at = np.flatnonzero(some)
+        k, f = arg[at], np.broadcast_to(np.arange(FILTERS), (len(at), FILTERS))
+        share = (dtop[at] / count[k]).astype(act.dtype)
+        of_block = np.zeros((len(start), FILTERS), act.dtype)
+        np.add.at(of_block, (k, f), share)
+        two = pair[k]
+        np.add.at(of_block, (k[two] + 1, f[two]), share[two])
         dact = np.zeros_like(act)
-        for i in np.flatnonzero(some).tolist():
-            for f in range(FILTERS):
-                k = arg[i, f]
-                a = start[k]
-                b = start[k + 1] + size[k + 1] if pair[k] else a + size[k]
-                dact[a:b, f] += dtop[i, f] / count[k]
+        dact[kernel.spans(start, size)] = np.repeat(of_block, size, axis=0)
         dact *= act > 0
         gW = np.stack([h.T @ dact, h[1:].T @ dact[:-1]])
         dh = dact @ self.W[0].T
@@ -170,39 +212,28 @@ def held_out(col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Net:
     """Fit on at most ``sample`` documents with a label; ``labels``: doc_id, quality."""
     ids = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = docs.select("doc_id", "text").where(F.octet_length("text").between(1, TRAIN_BYTES))
+    ids = text.select("doc_id").join(ids, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # at most ``sample`` rows
+    ids = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in ids], "doc_id long, quality int")
     rows = text.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
     rows = sorted(rows.collect())  # bounded: sample * TRAIN_BYTES
     return fit([r.text.encode() for r in rows], np.array([r.quality for r in rows]))
 
 
 def _score(net: Net):
+    net = net.double()
+
     def run(batches):
         for b in batches:
             data, offs = kernel.buffers(b.column(b.schema.get_field_index("text")))
             out = np.empty(b.num_rows, np.float64)
             for lo, hi in kernel.groups(offs, 1 << 18):
-                if offs[hi] - offs[lo] <= 1 << 23:
-                    out[lo:hi] = net.score(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                else:
-                    out[lo] = _long(net, data[offs[lo] : offs[hi]])
+                out[lo:hi] = net.score(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             yield b.append_column("score", pa.array(out))
 
     return run
 
 
-def _long(net: Net, data: np.ndarray) -> float:
-    """A very long text in parts that share a chunk, maxima over all of them."""
-    size, hop = 1 << 20, (1 << 20) - 2 * BLOCK * STEP
-    top = np.zeros(FILTERS, np.float32)
-    for a in range(0, max(1, len(data) - 2 * BLOCK * STEP), hop):
-        part = data[a : a + size]
-        top = np.maximum(top, net.forward(part, np.array([0, len(part)]))[1][0])
-    z = float(top @ net.V + net.c[0])
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
 def score(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``."""
     prepare(docs.sparkSession)

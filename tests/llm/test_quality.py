@@ -42,15 +42,64 @@ def test_without_labels(spark):
     assert Q.score(df.limit(0), lab).count() == 0
 
 
+def plain(net, text):
+    """The network's definition, one number at a time."""
+    byte = lambda i: text[i] if i < len(text) else 0
+    gram = lambda i: [byte(i + k) for k in range(4)]
+    steps = -(-len(text) // Q.STEP)
+
+    def inputs(step):
+        out = []
+        for i in range(step * Q.STEP, (step + 1) * Q.STEP):
+            seen = byte(i) != 0 and any(i >= lag and gram(i) == gram(i - lag) for lag in Q.LAGS)
+            out += [*map(float, net.E[byte(i)]), float(seen)]
+        return np.array(out)
+
+    xs = [inputs(s) for s in range(steps + 1)]
+    acts = [np.maximum(xs[s] @ net.W[0].astype(float) + xs[s + 1] @ net.W[1].astype(float) + net.B, 0) for s in range(steps)]
+    tops = np.zeros(Q.FILTERS)
+    blocks = [acts[a : a + Q.BLOCK] for a in range(0, steps, Q.BLOCK)]
+    for k in range(max(1, len(blocks) - 1)):
+        chunk = [a for block in blocks[k : k + 2] for a in block]
+        if chunk:
+            tops = np.maximum(tops, np.mean(chunk, axis=0))
+    return 1 / (1 + np.exp(-(tops @ net.V.astype(float) + float(net.c[0]))))
+
+
+def test_scores_are_those_of_the_definition():
+    docs, _ = corpus(12, 3)
+    net = Q.Net(3)
+    raw = [d[1].encode() for d in docs] + [b"", b"a", b"abc\0abc", b"xy" * 40, b"z" * 255, b"z" * 256, b"q w " * 200, "é🙂".encode() * 50]
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    whole = net.double().score(np.frombuffer(b"".join(raw), np.uint8), offs)
+    for x, s in zip(raw, whole):
+        assert abs(plain(net, x) - s) < 1e-6
+
+
 def test_grouping_does_not_change_scores():
     docs, _ = corpus(40, 3)
-    net = Q.Net(3)
+    net = Q.Net(3).double()
     raw = [d[1].encode() for d in docs]
     offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
     whole = net.score(np.frombuffer(b"".join(raw), np.uint8), offs)
-    for x, s in zip(raw, whole):
-        one = net.score(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]
-        assert abs(one - s) < 1e-4
+    back = net.score(np.frombuffer(b"".join(raw[::-1]), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw[::-1]])]))
+    for x, s, t in zip(raw, whole, back[::-1]):
+        assert net.score(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0] == s == t
+
+
+def test_segments_do_not_change_scores(monkeypatch):
+    r = np.random.default_rng(4)
+    net = Q.Net(5).double()
+    for n in (4096, 4097, 9001, 60_000, 60_003):
+        text = np.where(r.random(n) < 0.5, np.tile(r.integers(97, 110, 23), n // 23 + 1)[:n], r.integers(97, 122, n)).astype(np.uint8)
+        monkeypatch.setattr(Q, "SEGMENT", 1 << 16)
+        whole = net.forward(text, np.array([0, n]))[1][0]
+        for size in (64, 128, 1024):
+            monkeypatch.setattr(Q, "SEGMENT", size)
+            assert np.allclose(net._long(text), whole, rtol=0, atol=1e-12)
+    long = np.frombuffer(b"the same words again " * 500_000, np.uint8)  # 10 MB
+    monkeypatch.setattr(Q, "SEGMENT", 1 << 16)
+    assert 0 <= net.score(long, np.array([0, len(long)]))[0] <= 1
 
 
 def test_gradients():
