@@ -9,9 +9,11 @@ Equal sets are one class from the start: a digest of 128 bits and the size group
 and the others are linked to it on the spot, so only leaders travel: a class of a third of all rows sends one row from
 each task. The smallest leader of a class represents it; it alone is compared.
 
-Documents that share keys form coarse clusters; those bound what has to be compared and decide nothing. Inside a
-cluster, all pairs of representatives are compared on their full sets by counting common shingles, in blocks, and only a
-spanning forest of the links leaves a task.
+Documents that share keys form coarse clusters; those bound what has to be compared and decide nothing. Sets are compared
+in full, by counting common shingles, in blocks, and only a spanning forest of the links leaves a task. A cluster of up to
+BLOCK_DOCS representatives is one block. In a larger one, all are compared with a few pivots first; what that links to one
+component need not be compared with itself any more, so only those outside the largest component are compared with all
+others. So a large group of near copies costs a multiple of its size and not its square.
 
 Definitions: null texts and texts without words have an empty set, are linked with nothing and form their own component.
 Rows that share a doc_id are one node of the graph. A row without a doc_id is linked with nothing, its component_id is
@@ -53,7 +55,8 @@ LEADERS = 200_000
 #: rows of a table that is broadcast, after they were counted
 BROADCAST_ROWS = 200_000
 #: what one side of a block comparison holds at most, about
-BLOCK_DOCS, BLOCK_SHINGLES = 1500, 2_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 2_000_000
+PIVOTS = 4
 KEYS_PER_PARTITION = 1
 _R = np.random.default_rng(77).integers(0, 1 << 32, (2, 512), dtype=np.uint32)
 _SETS = "doc_id long, n_shingles long, d1 long, d2 long, lead long, keys binary"
@@ -295,6 +298,40 @@ def _confirm(percent: int):
     return run
 
 
+def _compared(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between the sides of each group (root, i, j), or within side 0 if there is no other."""
+    return rows.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_confirm(percent), graph.EDGES)
+
+
+def _by_root(df: DataFrame, per_root: DataFrame, how: str = "inner") -> DataFrame:
+    """``df`` with what is known of its clusters; a hot cluster's rows stay where they are if that is little."""
+    per_root = cut(per_root)
+    return df.join(F.broadcast(per_root) if per_root.count() <= BROADCAST_ROWS else per_root, "root", how)
+
+
+def _large(texts: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links in clusters of more than one block. ``texts``: root, blocks, doc_id, text; ``placed``: the same without texts."""
+    block = lambda: F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    every = lambda: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pivots = placed.groupBy("root").agg(*(F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")).alias(f"p{k}") for k in range(PIVOTS)))
+    pivots = pivots.select("root", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("doc_id"))
+    chosen = texts.join(cut(pivots), ["root", "doc_id"]).select("root", every().alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "doc_id", "text")
+    members = texts.select("root", block().alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"), "doc_id", "text")
+    first = cut(_compared(chosen.unionByName(members), n, percent))
+    labels = graph.components(first)
+    labels = placed.select("root", "doc_id").join(labels.withColumnRenamed("node", "doc_id").withColumnRenamed("root", "label"), "doc_id", "left").select("root", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    labels = cut(labels)
+    sizes = labels.groupBy("root", "label").count()
+    main = sizes.groupBy("root").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("docs"), F.max("count").alias("settled"))
+    main = main.where("docs > settled").select("root", "main", F.ceil((F.col("docs") - F.col("settled")) / BLOCK_DOCS).cast("int").alias("parts"))
+    rows = _by_root(texts, main)
+    opened = _by_root(labels, main).where("label <> main").select("root", "doc_id")
+    part = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.col("parts")).cast("int")
+    left = rows.select("root", block().alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).alias("side"), "doc_id", "text")
+    right = rows.join(opened, ["root", "doc_id"]).select("root", every().alias("i"), part.alias("j"), F.lit(1).alias("side"), "doc_id", "text")
+    return first.unionByName(_compared(left.unionByName(right), n, percent))
+
+
 def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -317,11 +354,11 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # clusters of one representative have nothing to compare; where few are left, no row has to travel to learn its cluster's blocks
     few = blocks.count() <= BROADCAST_ROWS
     placed = cut(sizes.join(F.broadcast(blocks) if few else blocks, "root").select(F.col("node").alias("doc_id"), "root", "blocks").distinct())
-    texts = docs.where("doc_id is not null").join(placed.hint("shuffle_hash"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    texts = texts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.select("root", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), (F.col("block") > F.col("k")).cast("int").alias("side"), "doc_id", "text")
-    texts = texts.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    close = texts.mapInArrow(_confirm(percent), graph.EDGES)
+    texts = cut(docs.where("doc_id is not null").join(placed.hint("shuffle_hash"), "doc_id").select("root", "blocks", "doc_id", "text"))
+    small = texts.where("blocks = 1").select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "doc_id", "text")
+    close = _compared(small, n, percent)
+    if blocks.where("blocks > 1").limit(1).count():
+        close = close.unionByName(_large(texts.where("blocks > 1"), placed.where("blocks > 1"), n, percent))
     roots = graph.components(close.unionByName(same).unionByName(local))
     numbered = sets.where("doc_id is not null").select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id", "left")
     out = numbered.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.col("root").isNull() | (F.col("root") == F.col("doc_id"))).alias("kept"))

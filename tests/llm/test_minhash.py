@@ -84,6 +84,29 @@ def test_blocks(spark, monkeypatch):
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
 
 
+def test_large_clusters_that_are_no_group(spark, monkeypatch):
+    """Chains and several groups in one coarse cluster: pivots settle a part of them only."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    r = random.Random(3)
+    rows, text = [], [f"w{i}" for i in range(150)]
+    for i in range(40):  # each a neighbour of the last, drifting away from the first
+        rows.append((i, " ".join(text)))
+        for _ in range(3):
+            text[r.randrange(len(text))] = f"c{i}x{r.randrange(99)}"
+    base = [f"u{i}" for i in range(120)]
+    for g in range(3):
+        own = [f"g{g}" if i % 20 == 0 else w for i, w in enumerate(base)]
+        for c in range(9):
+            t = list(own)
+            t[r.randrange(120)] = f"e{c}"
+            rows.append((1000 + 100 * g + c, " ".join(t)))
+    rows.append((77, rows[3][1]))
+    for percent in (85, 80):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert sorted(map(tuple, minhash.links(df, percent).collect()), key=str) == brute(rows, percent)
+
+
 def test_keys_guarantee():
     r = np.random.default_rng(0)
     a = r.integers(0, 1 << 16, (200, minhash.CHUNKS * minhash.SLOTS)).astype(np.uint16)
