@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import blocks, debruijn, decontaminate, licenses, minhash, packing, pii, quality, suffixes, vectors
+from marlstone.llm import blocks, debruijn, decontaminate, licenses, minhash, oracle, packing, pii, quality, suffixes, vectors
 
 
 def queries():
@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_license_scans": licenses.sql()}
+    return oracle.oracle_sql()
