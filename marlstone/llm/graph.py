@@ -46,25 +46,46 @@ def _contract(batches):
         yield edge_batch(*forest(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
 
+#: a node with more edges than that is hot: its neighbours don't travel to it, what is known of it is broadcast
+HOT = 1000
+BROADCAST_ROWS = 200_000
+
+
+def _with_low(rows: DataFrame, both: DataFrame, low: DataFrame, most: int) -> DataFrame:
+    """``rows`` (u, v) with m of ``low`` for each u. Hot nodes number at most a HOTth of the edges; that is counted before they are broadcast."""
+    if most > HOT:
+        hot = cut(both.groupBy("u").count().where(F.col("count") > HOT).select("u"))
+        if hot.count() <= BROADCAST_ROWS:
+            known = low.join(F.broadcast(hot), "u")
+            return rows.join(F.broadcast(known), "u").unionByName(rows.join(F.broadcast(hot), "u", "left_anti").join(low, "u"))
+    return rows.join(low, "u")
+
+
+def _both(e: DataFrame) -> DataFrame:
+    return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to (node, root): the smallest node that each can reach. Nodes alone aren't returned."""
     e = edges.select("a", "b").where("a <> b").mapInArrow(_contract, EDGES).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e)
     mark = _digest(e)
     while mark[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _both(e)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_low(both.where("v > u"), both, low, mark[2]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("v"))
         rest = large.join(low.withColumnRenamed("v", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(low.unionByName(rest).distinct())
         new = _digest(e)
-        if new == mark:
+        if new[:2] == mark[:2]:
             break
         mark = new
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _digest(e: DataFrame) -> tuple[int, int]:
-    n, x = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return n, x or 0
+def _digest(e: DataFrame) -> tuple[int, int, int]:
+    """(edges, a hash of them all, most edges of one node)."""
+    of_node = _both(e).groupBy("u").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+    n, x, most = of_node.agg(F.sum("n"), F.bit_xor("x"), F.max("n")).first()
+    return n or 0, x or 0, most or 0

@@ -149,3 +149,26 @@ def test_hot_group(spark, n):
         t[i % 300] = f"edit{i}"
         rows.append((10_000 + i, " ".join(t)))
     assert {x.component_id for x in minhash.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()} == {0}
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from marlstone.llm import graph
+
+    monkeypatch.setattr(graph, "HOT", 5)
+    monkeypatch.setattr(graph, "_contract", lambda batches: batches)
+    r = random.Random(12)
+    for limit in (1000, 0):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", limit)
+        edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(7, i) for i in range(400, 450)] + [(i, 900) for i in range(500, 560)]
+        root = {x: x for e in edges for x in e}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert all(got.get(x, x) == find(x) for x in root)
