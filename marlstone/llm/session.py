@@ -45,14 +45,19 @@ def _setting(spark: SparkSession, key: str, value: str):
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared checkpoint folder."""
+    prepare(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write to a table in the shared checkpoint folder and read that, so that nothing later depends on one executor.
 
     The shuffle files behind it are of no more use and are removed when the write ends.
     """
     spark = df.sparkSession
-    prepare(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/marlstone-{uuid.uuid4().hex}"
+    path = folder(spark, f"marlstone-{uuid.uuid4().hex}")
     with _setting(spark, _CLEAN, "true"):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
