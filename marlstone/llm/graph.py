@@ -51,14 +51,19 @@ HOT = 1000
 BROADCAST_ROWS = 200_000
 
 
-def _with_low(rows: DataFrame, both: DataFrame, low: DataFrame, most: int) -> DataFrame:
-    """``rows`` (u, v) with m of ``low`` for each u. Hot nodes number at most a HOTth of the edges; that is counted before they are broadcast."""
-    if most > HOT:
-        hot = cut(both.groupBy("u").count().where(F.col("count") > HOT).select("u"))
-        if hot.count() <= BROADCAST_ROWS:
-            known = low.join(F.broadcast(hot), "u")
-            return rows.join(F.broadcast(known), "u").unionByName(rows.join(F.broadcast(hot), "u", "left_anti").join(low, "u"))
-    return rows.join(low, "u")
+def _hot(both: DataFrame, most: int) -> DataFrame | None:
+    """Hot nodes, if there are any and few. They number at most a HOTth of the edges; that is counted before they are broadcast."""
+    if most <= HOT:
+        return None
+    hot = cut(both.groupBy("u").count().where(F.col("count") > HOT).select("u"))
+    return F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else None
+
+
+def _told(rows: DataFrame, known: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``rows`` (u, v) with what is ``known`` of each u."""
+    if hot is None:
+        return rows.join(known, "u")
+    return rows.join(F.broadcast(known.join(hot, "u")), "u").unionByName(rows.join(hot, "u", "left_anti").join(known.join(hot, "u", "left_anti"), "u"))
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -73,9 +78,10 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = _both(e)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _with_low(both.where("v > u"), both, low, mark[2]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        hot = _hot(both, mark[2])
+        large = _told(both.where("v > u"), low, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("v"))
-        rest = large.join(low.withColumnRenamed("v", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        rest = _told(large, low.withColumnRenamed("v", "m"), hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(low.unionByName(rest).distinct())
         new = _digest(e)
         if new[:2] == mark[:2]:

@@ -57,7 +57,6 @@ BROADCAST_ROWS = 200_000
 #: what one side of a block comparison holds at most, about
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 2_000_000
 PIVOTS = 4
-KEYS_PER_PARTITION = 1
 _R = np.random.default_rng(77).integers(0, 1 << 32, (2, 512), dtype=np.uint32)
 _SETS = "doc_id long, n_shingles long, d1 long, d2 long, lead long, keys binary"
 
@@ -336,7 +335,6 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = partitions(docs)
-    n_keys = n * KEYS_PER_PARTITION
     sets = cut(docs.mapInArrow(_describe(*shape(percent)), _SETS))
     known = sets.where("lead is not null")
     local = known.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
@@ -344,7 +342,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = leaders.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b < top").drop("top")
     same = cut(leaders.join(least, ["d1", "d2", "n_shingles"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
     keyed = sets.where("keys is not null").select("doc_id", "keys")
-    edges = deal(keyed.mapInArrow(_deal_keys(n_keys), PACKED), n).mapInArrow(_meet(n), PACKED)
+    edges = deal(keyed.mapInArrow(_deal_keys(n), PACKED), n).mapInArrow(_meet(n), PACKED)
     coarse = graph.components(deal(edges, n).mapInArrow(_once, graph.EDGES).unionByName(same))
     members = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
     sizes = leaders.select(F.col("doc_id").alias("node"), "n_shingles").join(members, "node").join(same.select(F.col("a").alias("node")).distinct(), "node", "left_anti")

@@ -1,8 +1,7 @@
-"""Which windows of which texts occur earlier: the distributed part shared by both substring operators.
+"""Contexts of texts (see ``contexts``) that occur earlier, and those that may share windows with others.
 
-Two rounds over packed records. Round one compares contexts (see ``contexts``): of equal contexts only the first
-occurrence stays open, all others are wholly repeated. Where different contexts share an anchor they may share some
-windows; only the open ones among those are expanded into windows, and round two compares these. Records of one task
+Of equal contexts only the first occurrence stays open, all others are wholly repeated. Where different contexts share an
+anchor they may share some windows; the open ones among those are given back to be looked at closer. Records of one task
 are combined before they are shuffled: a class of thousands of equal contexts sends one record from each batch.
 
 Rows that travel are packed blobs, ``(key, kind, blob)``; every key is reduced by itself, one after another, so memory
@@ -20,13 +19,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from marlstone.llm import kernel
 from marlstone.llm.contexts import contexts
-from marlstone.llm.kernel import U64, Prefix
-from marlstone.llm.session import cut, partitions
+from marlstone.llm.kernel import U64
+from marlstone.llm.session import cut
 
 PACKED = "key int, kind int, blob binary"
 MARKS = "doc_id long, fp int, full binary, open binary"
 RECORDS, FULL = 0, 1
-KEYS_PER_PARTITION = 1
 
 
 class Rule(NamedTuple):
@@ -36,7 +34,6 @@ class Rule(NamedTuple):
     gram: int
     symbols: Callable  # (bytes, offsets) -> (64 bits for each symbol, offsets counted in symbols)
     same_doc: bool  # earlier starts in the same document count, too
-    route: Callable | None = None  # (bytes, contexts, keys) -> key of each context
 
 
 def of_bytes(data: np.ndarray, offsets: np.ndarray):
@@ -181,7 +178,8 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, l
 
 
 def deal(df: DataFrame, n_partitions: int) -> DataFrame:
-    return df.repartition(n_partitions, "key").sortWithinPartitions("key")
+    """Each key, a number under ``n_partitions``, is a partition of its own: none is empty while another has several."""
+    return df.repartitionById(n_partitions, F.pmod("key", F.lit(n_partitions))).sortWithinPartitions("key")
 
 
 #: contexts gathered before a batch is combined and sent
@@ -200,7 +198,7 @@ def _first_round(rule: Rule, n_keys: int):
                 values, o = rule.symbols(part, offs[lo : hi + 1] - offs[lo])
                 c = contexts(values, o, rule.length, rule.gram)
                 if len(c.row):
-                    key = rule.route(part, c, n_keys) if rule.route else (c.gram % U64(n_keys)).astype(np.int32)
+                    key = (c.gram % U64(n_keys)).astype(np.int32)
                     parts.append(Recs((c.gram >> U64(32)).astype(np.uint32), c.whole, c.start.astype(np.int32), c.count.astype(np.int32), ids[lo:hi][c.row], fps[lo:hi][c.row]))
                     keys.append(key)
                     held += len(key)
@@ -213,45 +211,6 @@ def _first_round(rule: Rule, n_keys: int):
     return run
 
 
-def _second_round(rule: Rule, n_keys: int):
-    """Windows of the open contexts. Columns: doc_id, text, fp, open."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, keys, held = [], [], 0
-        for b in batches:
-            ids, fps = b.column(0).to_numpy(), b.column(2).to_numpy()
-            data, offs = kernel.buffers(b.column(1))
-            opens = b.column(3).to_pylist()
-            for lo, hi in kernel.groups(offs):
-                values, o = rule.symbols(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                mine = [np.frombuffer(x, np.int32).reshape(-1, 3) for x in opens[lo:hi]]
-                n = np.array([len(x) for x in mine])
-                runs, row = np.concatenate(mine).astype(np.int64), np.repeat(np.arange(hi - lo), n)
-                start = kernel.spans(runs[:, 0], runs[:, 1])
-                row = np.repeat(row, runs[:, 1])
-                k32 = np.repeat(runs[:, 2].astype(np.int32).view(np.uint32), runs[:, 1])
-                at = start + o[row]
-                k64 = np.empty(len(at), U64)
-                if hi - lo > 1 or len(values) <= 2 * kernel.GROUP:
-                    k64 = Prefix(values).at(at, at + rule.length)
-                else:  # one long text, in slices
-                    for a in range(0, len(values), kernel.GROUP):
-                        sel = (at >= a) & (at < a + kernel.GROUP)
-                        if sel.any():
-                            k64[sel] = Prefix(values[a : a + kernel.GROUP + rule.length]).at(at[sel] - a, at[sel] - a + rule.length)
-                if len(at):
-                    parts.append(Recs(k32, k64, start.astype(np.int32), np.ones(len(at), np.int32), ids[lo:hi][row], fps[lo:hi][row]))
-                    keys.append((k64 % U64(n_keys)).astype(np.int32))
-                    held += len(at)
-                if held >= BATCH:
-                    yield _emit(parts, keys, n_keys, rule.same_doc)
-                    parts, keys, held = [], [], 0
-        if held:
-            yield _emit(parts, keys, n_keys, rule.same_doc)
-
-    return run
-
-
 def _reduce(rule: Rule, n_keys: int, expand: bool):
     """One key's records to marks, dealt by the document that they belong to."""
 
@@ -311,23 +270,21 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.stack([lo[at], top[np.append(at[1:] - 1, len(lo) - 1)]], 1).astype(np.int32)
 
 
-def repeated(docs: DataFrame, rule: Rule) -> DataFrame:
+def first_round(docs: DataFrame, rule: Rule, n: int) -> DataFrame:
+    """Rows of MARKS: what is repeated for certain (full), and the contexts that may share windows with others (open)."""
+    sent = docs.mapInArrow(_first_round(rule, n), PACKED)
+    met = deal(sent, n).mapInArrow(_reduce(rule, n, True), PACKED)
+    return cut(deal(met, n).mapInArrow(_assemble(rule), MARKS))
+
+
+def covered(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, fp), with ``cover``: packed [lo, hi) ranges of symbols that repeated windows cover.
 
-    ``fp`` tells rows of one doc_id but different texts apart; equal rows share their marks.
+    ``fp`` tells rows of one doc_id but different texts apart; equal rows share their marks. ``marks``: doc_id, fp, full.
     """
-    n = partitions(docs)
-    n_keys = n * KEYS_PER_PARTITION
-    first = docs.mapInArrow(_first_round(rule, n_keys), PACKED)
-    first = deal(first, n).mapInArrow(_reduce(rule, n_keys, True), PACKED)
-    first = cut(deal(first, n).mapInArrow(_assemble(rule), MARKS))
-    opened = first.where("open is not null").select("doc_id", "fp", "open")
-    again = docs.join(opened.hint("shuffle_hash"), ["doc_id", "fp"]).select("doc_id", "text", "fp", "open")
-    again = again.mapInArrow(_second_round(rule, n_keys), PACKED)
-    again = deal(again, n).mapInArrow(_reduce(rule, n_keys, False), PACKED)
-    again = cut(deal(again, n).mapInArrow(_assemble(rule), MARKS))
-    marks = first.where("full is not null").unionByName(again).groupBy("doc_id", "fp").agg(F.collect_list("full").alias("cover"))
-    return docs.join(marks.hint("shuffle_hash"), ["doc_id", "fp"], "left").select("doc_id", "text", "cover")
+    every = marks.groupBy("doc_id", "fp").agg(F.collect_list("full").alias("cover"))
+    named = docs.where("doc_id is not null").join(every.hint("shuffle_hash"), ["doc_id", "fp"], "left").select("doc_id", "text", "cover")
+    return named.unionByName(docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("cover")))
 
 
 def ranges(cover: list[bytes] | None) -> np.ndarray:

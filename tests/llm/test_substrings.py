@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from marlstone.llm.debruijn import dedup_words
 from marlstone.llm.suffixes import dedup_bytes
 
@@ -110,3 +112,50 @@ def test_edges(spark):
     assert sorted(got, key=str) == sorted([(1, 0), (1, 0), (None, 0), (2, 0), (3, 0)], key=str)
     words = {(x.doc_id, x.n_words, x.n_removed) for x in dedup_words(df).collect()}
     assert words == {(1, 90, 87), (None, 90, 0), (2, 0, 0), (3, 1, 0)}
+
+
+def test_multikey():
+    from marlstone.llm.suffixes import multikey
+
+    r = np.random.default_rng(3)
+    text = r.integers(97, 99, 4000).astype(np.uint8)
+    text[500:900] = text[1500:1900]
+    text[2000:2300] = 97
+    raw = text.tobytes()
+    pos = r.permutation(4000 - 50)[:3000]
+    for length in (3, 8, 20, 50):
+        order, new = multikey(text, pos, length)
+        got = [raw[p : p + length] for p in pos[order]]
+        assert got == sorted(got)
+        assert new.tolist() == [k == 0 or got[k] != got[k - 1] for k in range(len(got))]
+
+
+def test_boundaries_through_equal_strings(spark, monkeypatch):
+    """One anchor in many contexts, and splitters that part their suffixes."""
+    from marlstone.llm import suffixes
+
+    r = random.Random(4)
+    word = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    core = word(34)
+    rows = []
+    for i in range(120):
+        left, right = r.choice(lefts) if i > 10 else word(16), r.choice(rights) if i > 10 else word(16)
+        lefts, rights = ([left] if i == 0 else [*lefts, left]), ([right] if i == 0 else [*rights, right])
+        rows.append((i, word(40) + left + core + right + word(40)))
+    cut = []
+    old = suffixes.splitters
+
+    def fine(df, n, length, gram):
+        got = old(df, 64, length, gram)
+        cut.append(got)
+        return got
+
+    monkeypatch.setattr(suffixes, "splitters", fine)
+    monkeypatch.setattr(suffixes, "partitions", lambda df: 64)
+    parted = []
+    strings = suffixes._strings
+    monkeypatch.setattr(suffixes, "_strings", lambda length: (parted.append(length), strings(length))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(map(tuple, dedup_bytes(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
+    assert got == brute_bytes(rows, 50)
+    assert parted and len(cut[0]) == 63 and len({x[:20] for x in cut[0]}) < 40  # boundaries lie within one anchor
