@@ -10,6 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: what Python workers run with unless the caller chose otherwise: freed memory goes back to the system, one thread each
+_WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
+#: what a batch between the JVM and Python holds at most, by the usual value that it takes the place of
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(16 << 20))}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -23,6 +27,11 @@ def prepare(spark: SparkSession) -> None:
     path = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if _ROOT not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, path) if x)
+        for k, v in _WORKERS.items():
+            sc.environment.setdefault(k, v)
+    for k, (usual, v) in _BATCH.items():
+        if spark.conf.get(k) == usual:
+            spark.conf.set(k, v)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
