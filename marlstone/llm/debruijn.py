@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from marlstone.llm import kernel, repeats, seeds
 from marlstone.llm.kernel import U64, Prefix
-from marlstone.llm.session import cut, folder, partitions
+from marlstone.llm.session import cut, drop, folder, partitions
 
 WORDS = 20
 GRAM = 12
@@ -185,7 +185,8 @@ def _repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     rows = named.join(opened.hint("shuffle_hash"), key).select("doc_id", "text", "fp", "open")
     table = f"marlstone_{uuid.uuid4().hex}"
     edges = rows.mapInArrow(_edges(length), _EDGES)
-    edges.repartition(n, "h").sortWithinPartitions("h").write.option("path", folder(spark, table)).option("compression", "zstd").bucketBy(n, "h").sortBy("h").saveAsTable(table)
+    place = folder(spark, table)  # shared, and its files are not the catalog's to remove
+    edges.repartition(n, "h").sortWithinPartitions("h").write.option("path", place).option("compression", "zstd").bucketBy(n, "h").sortBy("h").saveAsTable(table)
     try:
         edges = spark.table(table)
         low, high = (lambda c: F.min(c)), (lambda c: F.max(c))
@@ -199,9 +200,12 @@ def _repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
         found = cut(found.mapInArrow(_occurrences, "doc_id long, fp int, start int, size int, path long"))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+        drop(place)
+    drop(opened, repeated, paths)
     at = found.groupBy(*key).agg(F.collect_list(F.struct("start", "size", "path")).alias("spans"))
     seen = named.join(at.hint("shuffle_hash"), key).select("doc_id", "text", "fp", "spans")
     spans = cut(seen.mapInArrow(_digests(length), "doc_id long, fp int, start int, size int, path long, digest binary"))
+    drop(found)
     gone = _later(spans).groupBy(*key).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     out = named.join(gone.hint("shuffle_hash"), key, "left").select("doc_id", "text", "fp", "spans")
     out = out.unionByName(docs.where("doc_id is null").withColumn("spans", F.lit(None).cast(out.schema["spans"].dataType)))

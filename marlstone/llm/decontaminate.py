@@ -8,10 +8,11 @@ of text of about the item's length, is a candidate. Its slots are then compared:
 name or unit, the document must repeat its own (in at least 0.8 of the places). So a copy is found whatever its case and
 punctuation, and also where its numbers or names were replaced throughout.
 
-The item windows are broadcast while they number at most BROADCAST_WINDOWS; beyond it, documents' windows are shuffled
-and joined on the hash. Different texts under one item_id are items of their own. Texts shorter than five tokens are one window of all their tokens, so such an item matches a text that says nothing else;
+The item windows are broadcast while they number at most BROADCAST_WINDOWS; beyond it, documents' windows that pass a
+broadcast filter of a fixed size are shuffled and joined on the hash. Time is linear in a text's length, however long it is. Different texts under one item_id are items of their own. Texts shorter than five tokens are one window of all their tokens, so such an item matches a text that says nothing else;
 items without tokens, and rows
-without an id, match nothing. Null texts hold nothing. Repeated rows give one result. Extra columns are ignored.
+without an id, match nothing. Null texts hold nothing. Repeated rows give one result. Ties count as reached. An empty table
+gives an empty result. Extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from marlstone.llm import kernel
 from marlstone.llm.kernel import U64, Prefix
-from marlstone.llm.session import prepare, table
+from marlstone.llm.session import cut, prepare, table
 
 WINDOW = 5
 SHARE = 0.8
@@ -245,14 +246,34 @@ def _find(items: Items, share: float):
     return run
 
 
-def _explode(keys: list[str]):
-    """Distinct windows of each text: the columns named, then hash. The text is the last column read."""
+#: bits of the filter that documents' windows pass before they travel
+FILTER_BITS = 27
+
+
+def _filter_of(hashes: DataFrame) -> np.ndarray:
+    """A bit for each low part of a hash that occurs: at most 2**FILTER_BITS bits reach the driver, however many hashes there are."""
+    low = F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1)
+    word = hashes.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, CAST((hash & {(1 << FILTER_BITS) - 1}) & 63 AS INT))").alias("b"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in word.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+        out[r.w] = r.b
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _explode(keys: list[str], known=None):
+    """Distinct windows of each text: the columns named, then hash. The text is the last column read.
+
+    ``known``: a broadcast filter; windows that no item can have are left out.
+    """
 
     def run(batches):
         for b in batches:
             data, offs = kernel.buffers(b.column(len(keys)))
             for lo, hi in kernel.groups(offs):
                 h, row, _ = windows(tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
+                if known is not None:
+                    maybe = known.value[(h & U64((1 << FILTER_BITS) - 1)).astype(np.int64)]
+                    h, row = h[maybe], row[maybe]
                 pairs = np.unique(np.stack([row.astype(U64), h]), axis=1)
                 at = pa.array(pairs[0].astype(np.int64) + lo)
                 yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(len(keys))), pa.array(pairs[1].view(np.int64))], names=[*keys, "hash"])
@@ -287,8 +308,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, broadca
         bench = bench.withColumn("part", F.xxhash64("text"))  # texts that share an item_id are items of their own
         item = ["item_id", "part"]
         theirs = bench.select(*item, "text").mapInArrow(_explode(item), "item_id long, part long, hash long").distinct()
+        theirs = cut(theirs)
+        known = docs.sparkSession.sparkContext.broadcast(_filter_of(theirs))
         need = theirs.groupBy(item).agg(F.count("*").alias("need"))
-        mine = docs.mapInArrow(_explode(["doc_id"]), "doc_id long, hash long").distinct()
+        mine = docs.mapInArrow(_explode(["doc_id"], known), "doc_id long, hash long").distinct()
         pairs = mine.join(theirs, "hash").groupBy("doc_id", *item).agg(F.count("*").alias("n"))
         pairs = pairs.join(need, item).where(F.col("n") >= share * F.col("need")).select("doc_id", *item)
         both = docs.join(pairs, "doc_id").join(bench.withColumnRenamed("text", "words"), item).select("doc_id", "text", "item_id", "words")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marlstone.llm.session import cut
+from marlstone.llm.session import cut, drop
 
 EDGES = "a long, b long"
 
@@ -82,7 +82,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _told(both.where("v > u"), low, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("v"))
         rest = _told(large, low.withColumnRenamed("v", "m"), hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(low.unionByName(rest).distinct())
+        old, e = e, cut(low.unionByName(rest).distinct())
+        drop(old)
         new = _digest(e)
         if new[:2] == mark[:2]:
             break

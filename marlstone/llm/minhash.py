@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from marlstone.llm import graph, kernel
 from marlstone.llm.kernel import U64, Prefix
 from marlstone.llm.repeats import PACKED, by_key, deal, packed
-from marlstone.llm.session import cut, partitions, table
+from marlstone.llm.session import cut, drop, keys, partitions, table
 
 WORDS = 5
 PERCENT = 85
@@ -166,7 +166,7 @@ def _deal_keys(n_keys: int):
         cell = (key % U64(n_keys)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         cuts = np.searchsorted(cell[order], np.arange(n_keys + 1))
-        rows = [(k, 0, key[o].tobytes() + doc[o].tobytes()) for k in range(n_keys) if len(o := order[cuts[k] : cuts[k + 1]])]
+        rows = [(k, 0, key[o].tobytes() + doc[o].tobytes()) for k in np.flatnonzero(np.diff(cuts)).tolist() if len(o := order[cuts[k] : cuts[k + 1]])]
         if len(a):
             a, b = graph.forest(a, b)
             rows.append((int(a[0] % n_keys), 1, a.tobytes() + b.tobytes()))
@@ -205,7 +205,7 @@ def _meet(n_keys: int):
             cell = (kernel.mix(kernel.mix(a.view(U64)) ^ b.view(U64)) % U64(n_keys)).astype(np.int64)
             order = np.argsort(cell, kind="stable")
             cuts = np.searchsorted(cell[order], np.arange(n_keys + 1))
-            yield packed([(k, 0, a[o].tobytes() + b[o].tobytes()) for k in range(n_keys) if len(o := order[cuts[k] : cuts[k + 1]])])
+            yield packed([(k, 0, a[o].tobytes() + b[o].tobytes()) for k in np.flatnonzero(np.diff(cuts)).tolist() if len(o := order[cuts[k] : cuts[k + 1]])])
 
     return run
 
@@ -334,7 +334,7 @@ def _large(texts: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFra
 def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = partitions(docs)
+    n, n_keys = partitions(docs), keys(docs)
     sets = cut(docs.mapInArrow(_describe(*shape(percent)), _SETS))
     known = sets.where("lead is not null")
     local = known.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
@@ -342,7 +342,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = leaders.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b < top").drop("top")
     same = cut(leaders.join(least, ["d1", "d2", "n_shingles"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
     keyed = sets.where("keys is not null").select("doc_id", "keys")
-    edges = deal(keyed.mapInArrow(_deal_keys(n), PACKED), n).mapInArrow(_meet(n), PACKED)
+    edges = deal(keyed.mapInArrow(_deal_keys(n_keys), PACKED), n).mapInArrow(_meet(n_keys), PACKED)
     coarse = graph.components(deal(edges, n).mapInArrow(_once, graph.EDGES).unionByName(same))
     members = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
     sizes = leaders.select(F.col("doc_id").alias("node"), "n_shingles").join(members, "node").join(same.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
@@ -358,6 +358,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if blocks.where("blocks > 1").limit(1).count():
         close = close.unionByName(_large(texts.where("blocks > 1"), placed.where("blocks > 1"), n, percent))
     roots = graph.components(close.unionByName(same).unionByName(local))
+    drop(texts, placed, blocks, sizes, same)
     numbered = sets.where("doc_id is not null").select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id", "left")
     out = numbered.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.col("root").isNull() | (F.col("root") == F.col("doc_id"))).alias("kept"))
     unnumbered = sets.where("doc_id is null")  # apart, so that they don't all meet in the join

@@ -6,7 +6,7 @@ Dual-feasible functions bound from below how many sequences a partition needs; o
 and gives up its loosest sequence alone, one with a gap gives up all sequences that aren't full. What is given up is
 dealt anew to fewer partitions and packed again, until the bound over all pieces is met or a round gains nothing.
 
-Null texts are empty: a single end mark. Repeated rows are packed each by itself; a null doc_id is kept as null.
+Very long texts are encoded whole. Null texts are empty: a single end mark. Repeated rows are packed each by itself; a null doc_id is kept as null.
 Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -27,7 +27,7 @@ END = 2
 ROWS_PER_PARTITION = 200_000
 ROUNDS = 6
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long, kept boolean, bins long, bound long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long, kept boolean, bins long, sure long, bound long"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -136,11 +136,10 @@ def _pack(capacity: int, turn: int, last: bool):
         base = (turn << 58) + (TaskContext.get().partitionId() << 34)
         flat = lambda x, kind: pa.chunked_array([pa.array(x, kind)])
         t = t.append_column("sequence_id", flat(seq + base, pa.int64())).append_column("offset", flat(offs, pa.int64())).append_column("kept", flat(kept[seq], pa.bool_()))
-        head = np.zeros(len(sizes), np.int64)
-        head[0] = len(fill)
-        low = np.zeros(len(sizes), np.int64)
-        low[0] = bound
-        t = t.append_column("bins", flat(head, pa.int64())).append_column("bound", flat(low, pa.int64()))
+        for name, value in (("bins", len(fill)), ("sure", int(kept.sum())), ("bound", bound)):  # of the partition, in its first row
+            one = np.zeros(len(sizes), np.int64)
+            one[0] = value
+            t = t.append_column(name, flat(one, pa.int64()))
         yield from t.to_batches(max_chunksize=10_000)
 
     return run
@@ -163,8 +162,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if turn > 1 and before == n:
             n = max(1, n // 2)
         last = turn == ROUNDS or (turn > 1 and n == 1)
-        done = cut(pool.repartition(n, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn))).mapInArrow(_pack(capacity, turn, last), _PACKED))
-        bins, sure, left = done.agg(F.sum("bins"), F.countDistinct(F.when(F.col("kept"), F.col("sequence_id"))), F.sum((~F.col("kept")).cast("long"))).first()
+        numbered = pool.withColumn("__n", F.monotonically_increasing_id())  # equal rows without a doc_id don't all meet
+        numbered = numbered.repartition(n, F.xxhash64("doc_id", "piece", "ids_crc32", "__n", F.lit(turn))).drop("__n")
+        done = cut(numbered.mapInArrow(_pack(capacity, turn, last), _PACKED))
+        bins, sure, left = done.agg(F.sum("bins"), F.sum("sure"), F.sum((~F.col("kept")).cast("long"))).first()
         result = done.select(*names, "sequence_id", "offset")
         if used + bins <= bound or not left:
             return out.unionByName(result)

@@ -148,7 +148,7 @@ def _emit(parts: list[Recs], keys: list[np.ndarray], n_keys: int, same_doc: bool
     done = done._replace(count=(done.count & 0xFFFFFFFF).astype(np.int32))
     order = np.argsort(key, kind="stable")
     bounds = np.searchsorted(key[order], np.arange(n_keys + 1))
-    out = [(k, RECORDS, send.take(order[a:b]).pack()) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+    out = [(k, RECORDS, send.take(order[bounds[k] : bounds[k + 1]]).pack()) for k in np.flatnonzero(np.diff(bounds)).tolist()]
     if len(done.doc):
         out.append((int(cells(done.doc[:1], n_keys)[0]), FULL, done.pack()))  # the reduction deals them out
     return packed(out)
@@ -178,7 +178,7 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, l
 
 
 def deal(df: DataFrame, n_partitions: int) -> DataFrame:
-    """Each key, a number under ``n_partitions``, is a partition of its own: none is empty while another has several."""
+    """Keys are numbers from 0 on and go to partitions in turn: none is empty while another has several."""
     return df.repartitionById(n_partitions, F.pmod("key", F.lit(n_partitions))).sortWithinPartitions("key")
 
 
@@ -270,10 +270,10 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.stack([lo[at], top[np.append(at[1:] - 1, len(lo) - 1)]], 1).astype(np.int32)
 
 
-def first_round(docs: DataFrame, rule: Rule, n: int) -> DataFrame:
+def first_round(docs: DataFrame, rule: Rule, n: int, n_keys: int) -> DataFrame:
     """Rows of MARKS: what is repeated for certain (full), and the contexts that may share windows with others (open)."""
-    sent = docs.mapInArrow(_first_round(rule, n), PACKED)
-    met = deal(sent, n).mapInArrow(_reduce(rule, n, True), PACKED)
+    sent = docs.mapInArrow(_first_round(rule, n_keys), PACKED)
+    met = deal(sent, n).mapInArrow(_reduce(rule, n_keys, True), PACKED)
     return cut(deal(met, n).mapInArrow(_assemble(rule), MARKS))
 
 

@@ -15,7 +15,7 @@ from marlstone.llm import kernel
 from marlstone.llm.contexts import contexts
 from marlstone.llm.kernel import U64
 from marlstone.llm.repeats import FULL, RECORDS, Recs, by_key, cells, deal, packed
-from marlstone.llm.session import partitions
+from marlstone.llm.session import keys, partitions
 
 PACKED = "key int, kind int, blob binary"
 BATCH = 1 << 20
@@ -39,7 +39,7 @@ def _send(symbols, length: int, gram: int, n_keys: int):
         send, key = r.take(one), (r.k64[one] % U64(n_keys)).astype(np.int32)
         order = np.argsort(key, kind="stable")
         cuts = np.searchsorted(key[order], np.arange(n_keys + 1))
-        rows = [(k, RECORDS, send.take(order[a:b]).pack()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        rows = [(k, RECORDS, send.take(order[cuts[k] : cuts[k + 1]]).pack()) for k in np.flatnonzero(np.diff(cuts)).tolist()]
         if len(again):
             done = r.take(again)
             rows.append((int(cells(done.doc[:1], n_keys)[0]), FULL, done.pack()))  # the reduction deals them out
@@ -97,6 +97,6 @@ def _assemble(batches):
 
 def opened(docs: DataFrame, symbols, length: int, gram: int) -> DataFrame:
     """doc_id, fp, open: packed (start, windows) of the open contexts of ``docs`` (doc_id, text, fp; no null doc_id)."""
-    n = partitions(docs)
-    sent = deal(docs.mapInArrow(_send(symbols, length, gram, n), PACKED), n)
-    return deal(sent.mapInArrow(_meet(n), PACKED), n).mapInArrow(_assemble, "doc_id long, fp int, open binary")
+    n, n_keys = partitions(docs), keys(docs)
+    sent = deal(docs.mapInArrow(_send(symbols, length, gram, n_keys), PACKED), n)
+    return deal(sent.mapInArrow(_meet(n_keys), PACKED), n).mapInArrow(_assemble, "doc_id long, fp int, open binary")

@@ -69,15 +69,36 @@ def cut(df: DataFrame) -> DataFrame:
     path = folder(spark, f"marlstone-{uuid.uuid4().hex}")
     with _setting(spark, _CLEAN, "true"):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-def partitions(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """Partitions for a shuffle of what is derived from ``df``: grows with the estimated input bytes.
+def drop(*tables: DataFrame | str) -> None:
+    """Remove what ``cut`` wrote (or folders), once nothing that is still to be computed reads it."""
+    for t in tables:
+        spark = SparkSession.getActiveSession() if isinstance(t, str) else t.sparkSession
+        path = t if isinstance(t, str) else t._cut_path
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    Never under ``spark.sql.shuffle.partitions``; a bound of 200,000 keeps the shuffle's index files sane.
+
+def keys(df: DataFrame, bytes_each: int = 16 << 20) -> int:
+    """How many parts what is derived from ``df`` is dealt to: grows with the bytes of its sources, without a bound.
+
+    Never under ``spark.sql.shuffle.partitions``. Sources whose size isn't known count by their partitions.
     """
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(200_000, size // bytes_each if size < 1 << 60 else 0))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.length())]
+    if any(s >= 1 << 60 for s in sizes):
+        least = max(least, df.rdd.getNumPartitions())
+    return max(least, sum(s for s in sizes if s < 1 << 60) // bytes_each)
+
+
+def partitions(df: DataFrame, bytes_each: int = 16 << 20, most: int = 200_000) -> int:
+    """Partitions for a shuffle of what is derived from ``df``. Beyond ``most``, which keeps the shuffle's index files sane, a
+    partition has several keys; those are handled one after another."""
+    return min(most, keys(df, bytes_each))

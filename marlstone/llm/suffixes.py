@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from marlstone.llm import kernel, repeats
 from marlstone.llm.kernel import U64, Prefix, mix
 from marlstone.llm.repeats import FULL, PACKED, RECORDS, Recs, by_key, cells, deal, packed
-from marlstone.llm.session import cut, partitions
+from marlstone.llm.session import cut, keys, partitions
 
 BYTES = 50
 GRAM = 20
@@ -228,16 +228,16 @@ def _keep(with_bytes: bool):
 
 def _repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, text, cover of each row of ``docs`` (doc_id, text, fp)."""
-    n = partitions(docs)
+    n, n_keys = partitions(docs), keys(docs)
     rule = repeats.Rule(length, gram, repeats.of_bytes, False)
-    first = repeats.first_round(docs, rule, n)
+    first = repeats.first_round(docs, rule, n, n_keys)
     opened = first.where("open is not null").select("doc_id", "fp", "open")
     key = ["doc_id", "fp"]
     rows = docs.join(opened.hint("shuffle_hash"), key).select("doc_id", "text", "fp", "open")
     every = max(1, opened.count() // SAMPLE_DOCS)
     some = opened.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * SAMPLE_DOCS)
-    split = splitters(docs.join(F.broadcast(some), key).select("doc_id", "text", "fp", "open"), n, length, gram)
-    found = cut(deal(rows.mapInArrow(_send(split, n, length, gram), PACKED), n).mapInArrow(_array(split, n, length), PACKED))
+    split = splitters(docs.join(F.broadcast(some), key).select("doc_id", "text", "fp", "open"), n_keys, length, gram)
+    found = cut(deal(rows.mapInArrow(_send(split, n_keys, length, gram), PACKED), n).mapInArrow(_array(split, n_keys, length), PACKED))
     again = cut(deal(found.where(F.col("kind") == FULL), n).mapInArrow(repeats._assemble(rule), repeats.MARKS))
     parted = found.where(F.col("kind") == BOUND).select("blob").mapInArrow(_strings(length), "doc_id long, fp int, string binary, full binary")
     low = parted.groupBy("string").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("string", "low")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from marlstone.llm import graph
-from marlstone.llm.session import cut, partitions, table
+from marlstone.llm.session import cut, drop, partitions, table
 
 COSINE = 0.93
 SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
@@ -164,6 +164,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     homes, guests = placed.withColumn("cell", F.col("home")), placed.withColumn("cell", F.explode("cells"))
     counts = homes.groupBy(*cell).agg(F.count("*").alias("h"), F.lit(0).alias("g")).unionByName(guests.groupBy(*cell).agg(F.lit(0).cast("long").alias("h"), F.count("*").alias("g")))
     counts = cut(counts.groupBy(*cell).agg(F.ceil(F.sum("h") / BLOCK).cast("int").alias("hb"), F.ceil(F.sum("g") / BLOCK).cast("int").alias("gb")).where("hb > 0"))
+    counts_table = counts
     if counts.count() <= BROADCAST_ROWS:
         counts = F.broadcast(counts)
     mine = lambda blocks: F.pmod(F.xxhash64("cid"), F.col(blocks)).cast("int")
@@ -183,6 +184,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     single = told.where("rep is null").select("vec_id", F.xxhash64("label", "h1", "h2").alias("cid")).join(sums, "cid", "left")
     linked = told.where("rep is not null").select("vec_id", "n_links").unionByName(single.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links")))
     roots = graph.components(met.where("b is not null").select("a", "b").unionByName(same))
+    drop(placed, counts_table)
     named = v.where("not good and vec_id is not null").select("vec_id", F.lit(0).cast("long").alias("n_links"))
     out = linked.unionByName(named)
     out = out.join(roots.withColumnRenamed("node", "vec_id").hint("shuffle_hash"), "vec_id", "left")

@@ -151,7 +151,7 @@ def test_boundaries_through_equal_strings(spark, monkeypatch):
         return got
 
     monkeypatch.setattr(suffixes, "splitters", fine)
-    monkeypatch.setattr(suffixes, "partitions", lambda df: 64)
+    monkeypatch.setattr(suffixes, "keys", lambda df: 64)
     parted = []
     strings = suffixes._strings
     monkeypatch.setattr(suffixes, "_strings", lambda length: (parted.append(length), strings(length))[1])
