@@ -23,6 +23,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window, functions as F
 
 from marlstone.llm import kernel, repeats, seeds
@@ -121,20 +122,29 @@ def _occurrences(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in cols], names=["doc_id", "fp", "start", "size", "path"])
 
 
+def _spans(col: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(row of each span, its fields) of a column of lists of structs."""
+    flat = col.flatten()
+    n = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy()
+    return np.repeat(np.arange(len(col)), n), [flat.field(k).to_numpy() for k in range(flat.type.num_fields)]
+
+
 def _digests(length: int):
     """The words at each source coordinate, as a digest. Columns: doc_id, text, fp, spans."""
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc, text, fp, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            row, (start, size, path) = _spans(b.column(3))
+            at = np.searchsorted(row, np.arange(b.num_rows + 1))
+            low, high = start.tolist(), (start + size + (length - 1)).tolist()
+            digest: list[bytes] = []
+            for i, text in enumerate(b.column(1).to_pylist()):
                 words = (text or "").encode().split()
-                for s in spans:
-                    digest = hashlib.blake2b(b" ".join(words[s["start"] : s["start"] + s["size"] + length - 1]), digest_size=16).digest()
-                    for col, v in zip(out, (doc, fp, s["start"], s["size"], s["path"], digest), strict=True):
-                        col.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "fp", "start", "size", "path", "digest"])
+                digest += [hashlib.blake2b(b" ".join(words[low[k] : high[k]]), digest_size=16).digest() for k in range(at[i], at[i + 1])]
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(row), b.column(2).take(row), pa.array(start), pa.array(size), pa.array(path), pa.array(digest, pa.binary())],
+                names=["doc_id", "fp", "start", "size", "path", "digest"])
 
     return run
 
@@ -166,10 +176,11 @@ def _later(spans: DataFrame) -> DataFrame:
 def _cover(length: int):
     def run(batches):
         for b in batches:
-            out = []
-            for spans in b.column(3).to_pylist():
-                x = np.array(sorted({(s["start"], s["start"] + s["size"] + length - 1) for s in spans or ()}), np.int32).reshape(-1, 2)
-                out.append([repeats.merged(x[:, 0], x[:, 1]).tobytes()] if len(x) else None)
+            row, (start, size) = _spans(b.column(3))
+            order = np.lexsort((start, row))
+            row, low, high = row[order], start[order], (start + size)[order] + (length - 1)
+            at = np.searchsorted(row, np.arange(b.num_rows + 1)).tolist()
+            out = [[repeats.merged(low[a:z], high[a:z]).tobytes()] if z > a else None for a, z in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "text", "cover"])
 
     return run
