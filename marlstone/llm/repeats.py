@@ -183,7 +183,7 @@ def deal(df: DataFrame, n_partitions: int) -> DataFrame:
 
 
 #: contexts gathered before a batch is combined and sent
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 
 def _first_round(rule: Rule, n_keys: int):

@@ -18,7 +18,7 @@ from marlstone.llm.repeats import FULL, RECORDS, Recs, by_key, cells, deal, pack
 from marlstone.llm.session import keys, partitions
 
 PACKED = "key int, kind int, blob binary"
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 
 def _tied(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
