@@ -12,7 +12,7 @@ from marlstone.functions import text
 from marlstone.functions.codecs import SCALARS
 from marlstone.operators.plain import Plain
 from marlstone.plans import wire
-from marlstone.plans.model import Enum, Many, Member, Model, Ref
+from marlstone.plans.model import Enum, Many, Member, Model, ModelError, Ref
 
 OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "FAILFAST", "attributePrefix": "_", "wildcardColName": wire.ANY}
 _CORRUPT = "__corrupt"
@@ -191,6 +191,8 @@ def decode(
     without a ``parse`` can't be judged and raise as ever. ``raw_dates``: beside each dateTime X, its text as X_raw, in which the
     seventh digit of a second is kept. ``plain_form``: documents in plain form are read without the XML parser.
     """
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") != "true":
+        raise ModelError("element names are compared by case: use a session of sources.xmlio.session, or set spark.sql.caseSensitive")
     d = Decoder(model, strict_items, depth, raw_dates=raw_dates)
     model.root(root)
     want = wire.known(model, root, wire.tree(paths))
