@@ -107,3 +107,18 @@ def test_best_fit_exact_on_small_cases():
         low = packing.lower_bound(np.bincount(sizes, minlength=11))
         best = optimum(sizes.tolist(), 10)
         assert low <= best <= len(packing.best_fit(sizes, 10)[2]) <= best + 1
+
+
+def test_best_fit_is_that_of_its_definition():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        c = int(r.integers(5, 200))
+        sizes = r.integers(1, c + 1, int(r.integers(1, 120)))
+        rooms, want = [], []
+        for s in sorted(sizes.tolist(), reverse=True):
+            fits = [x for x in rooms if x >= s]
+            if fits:
+                rooms[rooms.index(min(fits))] -= s
+            else:
+                rooms.append(c - s)
+        assert sorted(c - x for x in rooms) == sorted(packing.best_fit(sizes, c)[2].tolist())

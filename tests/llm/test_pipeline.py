@@ -1,8 +1,11 @@
+import zlib
+
 import numpy as np
 import pyarrow.parquet as pq
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from marlstone.llm import pii, quality
+from marlstone.llm import packing, pii, quality
 from tests.llm.test_decontaminate import brute as brute_leaks
 from tests.llm.test_minhash import brute as brute_near
 
@@ -37,11 +40,21 @@ def test_each_stage_against_brute_force(spark, tmp_path):
                 assert r.n_chars == len(r.text) and not pii.base_spans(r.text) or "<" in r.text
                 assert r.text == before[d].text or "<" in r.text
         else:
-            assert {r.doc_id for r in out.collect()} == set(before)
-            fill = {}
+            tok = Tokenizer.from_file(packing.vocabulary())
+            want, got, places = [], [], {}
+            for d, r in before.items():
+                ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, packing.END]
+                cuts = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)]
+                want += [(d, n, a, z - a, zlib.crc32(np.array(ids[a:z], "<u4").tobytes())) for n, (a, z) in enumerate(zip(cuts, cuts[1:]))]
             for r in out.collect():
-                fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
-            assert max(fill.values()) <= 1024
+                got.append((r.doc_id, r.piece, r.start, r.length, r.ids_crc32))
+                places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            assert sorted(got) == sorted(want)
+            for x in places.values():
+                x.sort()
+                assert [o for o, _ in x] == [sum(n for _, n in x[:i]) for i in range(len(x))] and sum(n for _, n in x) <= 1024
+            bound = packing.lower_bound(np.bincount([x[3] for x in want], minlength=1025))
+            assert bound <= len(places) <= bound + 1
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == names
         docs = out
