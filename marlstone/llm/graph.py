@@ -33,13 +33,17 @@ def edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+#: edges that one task holds
+CHUNK = 1 << 20
+
+
 def _contract(batches):
-    """A spanning forest of each million edges or so."""
+    """A spanning forest of each CHUNK of edges: from each node to the smallest that it reaches there."""
     held, n = [], 0
     for b in batches:
         held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
         n += b.num_rows
-        if n >= 1 << 20:
+        if n > CHUNK:
             yield edge_batch(*forest(*(np.concatenate(x) for x in zip(*held, strict=True))))
             held, n = [], 0
     if held:
@@ -75,6 +79,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select("a", "b").where("a <> b").mapInArrow(_contract, EDGES).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e)
     mark = _digest(e)
+    if mark[0] <= 2 * CHUNK:  # counted, each edge in both directions: one task holds them all, so one contraction is the answer
+        return cut(e.coalesce(1).mapInArrow(_contract, EDGES).select(F.col("a").alias("node"), F.col("b").alias("root")))
     while mark[0]:
         both = _both(e)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -155,10 +155,12 @@ def test_components_with_hot_nodes(spark, monkeypatch):
     from marlstone.llm import graph
 
     monkeypatch.setattr(graph, "HOT", 5)
-    monkeypatch.setattr(graph, "_contract", lambda batches: batches)
     r = random.Random(12)
-    for limit in (1000, 0):
+    old = graph._contract
+    for limit, chunk in ((1000, 0), (0, 0), (0, 1 << 20)):
         monkeypatch.setattr(graph, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(graph, "CHUNK", chunk)
+        monkeypatch.setattr(graph, "_contract", old if chunk else lambda batches: batches)
         edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(7, i) for i in range(400, 450)] + [(i, 900) for i in range(500, 560)]
         root = {x: x for e in edges for x in e}
 
