@@ -302,4 +302,4 @@ def extract(pages: DataFrame, hints: bool = True) -> DataFrame:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(table(spark, sf_dir, "pages", True))

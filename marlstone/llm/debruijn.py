@@ -258,4 +258,4 @@ def dedup_words(docs: DataFrame, length: int = WORDS, gram: int = GRAM, with_tex
 def op5(spark, sf_dir: str) -> DataFrame:
     from marlstone.llm.session import table
 
-    return dedup_words(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+    return dedup_words(table(spark, sf_dir, "documents", True), with_text=False).drop("kept_text")

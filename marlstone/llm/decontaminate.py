@@ -326,4 +326,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHAR
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return matches(table(spark, sf_dir, "documents", True), table(spark, sf_dir, "benchmark"))

@@ -384,4 +384,4 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return links(table(spark, sf_dir, "documents"))
+    return links(table(spark, sf_dir, "documents", True))

@@ -176,4 +176,4 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return pack(pieces(table(spark, sf_dir, "documents"), with_ids=False)).drop("ids")
+    return pack(pieces(table(spark, sf_dir, "documents", True), with_ids=False)).drop("ids")

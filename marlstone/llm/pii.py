@@ -367,4 +367,4 @@ def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return find(table(spark, sf_dir, "documents"))
+    return find(table(spark, sf_dir, "documents", True))

@@ -256,4 +256,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, thre
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score(table(spark, sf_dir, "documents", True), table(spark, sf_dir, "labels"))

@@ -40,8 +40,11 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(named)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the folder. ``spread``: one that has fewer splits than there are cores is dealt to all of them first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 @contextmanager

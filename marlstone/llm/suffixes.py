@@ -257,4 +257,4 @@ def dedup_bytes(docs: DataFrame, length: int = BYTES, gram: int = GRAM, with_byt
 def op6(spark, sf_dir: str) -> DataFrame:
     from marlstone.llm.session import table
 
-    return dedup_bytes(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+    return dedup_bytes(table(spark, sf_dir, "documents", True), with_bytes=False).drop("kept")

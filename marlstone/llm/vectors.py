@@ -194,4 +194,4 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return links(table(spark, sf_dir, "embeddings"))
+    return links(table(spark, sf_dir, "embeddings", True))
