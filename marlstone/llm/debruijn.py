@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from marlstone.llm import kernel, repeats, seeds
 from marlstone.llm.kernel import U64, Prefix
-from marlstone.llm.session import cut, drop, folder, partitions
+from marlstone.llm.session import cut, drop, folder, partitions, tidy
 
 WORDS = 20
 GRAM = 12
 #: windows that are combined before they travel
-BATCH = 1 << 19
+BATCH = 1 << 18
 #: a path with more occurrences is hot: it is broadcast to them, if such paths are few
 HOT, BROADCAST_ROWS = 1000, 200_000
 #: buckets of the table of edges at most
@@ -72,10 +72,13 @@ def _edges(length: int):
         for k in np.flatnonzero(n > 1).tolist():
             a, z = first[k] + 1, first[k] + n[k]
             others[k] = doc[a:z].tobytes() + at[a:z].tobytes()
-        cols = [h[first].view(np.int64), doc[first], at[first], *sides, n.astype(np.int32)]
+        # rows leave in the order of their documents, so that what neighbours share is written once by the shuffle's compression
+        place = np.lexsort((at[first], doc[first]))
+        others = [others[k] for k in place.tolist()]
+        cols = [c[place] for c in (h[first].view(np.int64), doc[first], at[first], *sides, n.astype(np.int32))]
         names = ["h", "doc", "at", "before", "after", "n", "others"]
-        for lo in range(0, len(first), 1 << 16):
-            z = slice(lo, lo + (1 << 16))
+        for lo in range(0, len(first), 1 << 14):
+            z = slice(lo, lo + (1 << 14))
             yield pa.RecordBatch.from_arrays([*(pa.array(c[z]) for c in cols), pa.array(others[z], pa.binary())], names=names)
 
     def run(batches):
@@ -118,8 +121,8 @@ def _occurrences(batches):
                 parts.append((np.full(m, path[k]), np.full(m, size[k]), np.frombuffer(x, np.int64, m), np.frombuffer(x, np.int64, m, 8 * m)))
         path, size, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
         cols = [doc, (at & 0xFFFFFFFF).astype(np.uint32).view(np.int32), (at >> 32).astype(np.int32), size.astype(np.int32), path]
-        for lo in range(0, len(doc), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in cols], names=["doc_id", "fp", "start", "size", "path"])
+        for lo in range(0, len(doc), 1 << 14):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 14)]) for c in cols], names=["doc_id", "fp", "start", "size", "path"])
 
 
 def _spans(col: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -194,10 +197,13 @@ def _repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     n = min(BUCKETS, partitions(docs))
     opened = cut(seeds.opened(named, repeats.of_words, length, gram))
     rows = named.join(opened.hint("shuffle_hash"), key).select("doc_id", "text", "fp", "open")
+    # the texts' shuffle is gone before the edges' begins
+    edges = cut(rows.mapInArrow(_edges(length), _EDGES))
     table = f"marlstone_{uuid.uuid4().hex}"
-    edges = rows.mapInArrow(_edges(length), _EDGES)
     place = folder(spark, table)  # shared, and its files are not the catalog's to remove
-    edges.repartition(n, "h").sortWithinPartitions("h").write.option("path", place).option("compression", "zstd").bucketBy(n, "h").sortBy("h").saveAsTable(table)
+    with tidy(spark):
+        edges.repartition(n, "h").sortWithinPartitions("h").write.option("path", place).option("compression", "zstd").bucketBy(n, "h").sortBy("h").saveAsTable(table)
+    drop(edges, opened)
     try:
         edges = spark.table(table)
         low, high = (lambda c: F.min(c)), (lambda c: F.max(c))
@@ -212,7 +218,7 @@ def _repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         drop(place)
-    drop(opened, repeated, paths)
+    drop(repeated, paths)
     at = found.groupBy(*key).agg(F.collect_list(F.struct("start", "size", "path")).alias("spans"))
     seen = named.join(at.hint("shuffle_hash"), key).select("doc_id", "text", "fp", "spans")
     spans = cut(seen.mapInArrow(_digests(length), "doc_id long, fp int, start int, size int, path long, digest binary"))

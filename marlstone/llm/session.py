@@ -63,6 +63,11 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
 
 
+def tidy(spark: SparkSession):
+    """While it lasts, the shuffle files of a write are removed when it ends."""
+    return _setting(spark, _CLEAN, "true")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write to a table in the shared checkpoint folder and read that, so that nothing later depends on one executor.
 
@@ -70,7 +75,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = folder(spark, f"marlstone-{uuid.uuid4().hex}")
-    with _setting(spark, _CLEAN, "true"):
+    with tidy(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
