@@ -1,7 +1,7 @@
 """A short way for documents in plain form.
 
 A document is plain if it is made of its model's own elements alone: no attributes, comments, CDATA sections, references
-or unknown elements, and every name stands for one member only. One pattern recognises that; then each value lies
+but the commonest, or unknown elements, and every name stands for one member only. One pattern recognises that; then each value lies
 between its tags and is cut out by position. Whatever isn't plain goes to the XML parser, with the same result.
 """
 
@@ -15,8 +15,10 @@ from marlstone.plans.model import Enum, Many, Model, Ref
 
 _WS = "[ \\t\\r\\n]*+"
 _NOT = "<>&\\r\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF"
-#: text that the parser gives back as it stands: empty, or with more than white space
-_TEXT = f"(?:[ \\t\\n]*+[^ \\t\\n{_NOT}][^{_NOT}]*+)?+"
+_REFS = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))  # that of & goes last
+_REF = f"(?:{'|'.join(r for r, _ in _REFS)})"
+#: text that the parser gives back as it stands but for those references: empty, or with more than white space
+_TEXT = f"(?:[ \\t\\n]*+(?:[^ \\t\\n{_NOT}]|{_REF})[^{_NOT}]*+(?:{_REF}[^{_NOT}]*+)*+)?+"
 
 
 
@@ -66,7 +68,10 @@ class Plain:
             items = F.transform(items, lambda p: self._value(kind.item, tag, F.substring_index(p, f"<{tag}>", -1), want))
             none = F.lit(None).cast("array<string>")
             return F.struct(items.alias(wire.ANY)) if isinstance(kind.item, Enum) else F.struct(items.alias(tag), none.alias(wire.ANY))
-        return x
+        out = x
+        for ref, c in _REFS:
+            out = F.replace(out, F.lit(ref), F.lit(c))
+        return F.when(F.contains(x, F.lit("&")), out).otherwise(x)
 
     def _fields(self, name: str, x: Column, want: dict | None) -> list[Column]:
         out = []
