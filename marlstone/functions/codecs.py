@@ -36,7 +36,8 @@ def reader(parse: Callable[[Column], Column], what: str) -> Callable[[Column], C
 def _number(kind: str, sql: str, low: int | None = None, high: int | None = None):
     def parse(c: Column) -> Column:
         s = F.btrim(c, F.lit(_BLANK))
-        v = F.when(s.rlike(r"^[+-]?[0-9]+$"), s).try_cast(sql)
+        whole = F.when(s.rlike(r"^[+-]?[0-9]+$"), s) if sql.startswith("decimal") else s  # casts to integers take nothing else
+        v = whole.try_cast(sql)
         if low is not None:
             v = F.when(v.between(F.expr(f"CAST('{low}' AS {sql})"), F.expr(f"CAST('{high}' AS {sql})")), v)
         return v

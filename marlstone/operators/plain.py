@@ -14,12 +14,12 @@ from marlstone.plans import wire
 from marlstone.plans.model import Enum, Many, Model, Ref
 
 _WS = "[ \\t\\r\\n]*+"
-_NOT = "<>&\\r\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF"
+#: text characters that stand for themselves, the commonest first
+_C = "[\\x3F-\\uD7FF\\x27-\\x3B\\x20-\\x25=\\n\\t\\uE000-\\uFFFD\\x{10000}-\\x{10FFFF}]"
 _REFS = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))  # that of & goes last
 _REF = f"(?:{'|'.join(r for r, _ in _REFS)})"
-#: text that the parser gives back as it stands but for those references: empty, or with more than white space
-_TEXT = f"(?:[ \\t\\n]*+(?:[^ \\t\\n{_NOT}]|{_REF})[^{_NOT}]*+(?:{_REF}[^{_NOT}]*+)*+)?+"
-
+#: text that the parser gives back as it stands but for those references; what begins with white space, and may be nothing else, isn't
+_TEXT = f"(?![ \\t\\n]){_C}*(?:{_REF}{_C}*)*+"
 
 
 class Plain:
@@ -50,7 +50,7 @@ class Plain:
             inner = [self._element(m.name, m.kind) for m in self.model.members(kind.subject)]
         else:
             return f"<\\Q{tag}\\E>{_TEXT}</\\Q{tag}\\E>"
-        body = f"(?:{_WS}(?:{'|'.join(inner)}))*+{_WS}" if inner else ""
+        body = f"(?:{_WS}(?:{'|'.join(inner)}))*+{_WS}" if inner else ""  # possessive: no stack however many there are
         return f"<\\Q{tag}\\E>{body}</\\Q{tag}\\E>"
 
     def test(self, x: Column) -> Column:
