@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marlstone.llm.session import cut, drop
+from marlstone.llm.session import cut, drop, prepare
 
 EDGES = "a long, b long"
 
@@ -76,6 +76,7 @@ def _both(e: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to (node, root): the smallest node that each can reach. Nodes alone aren't returned."""
+    prepare(edges.sparkSession)
     e = edges.select("a", "b").where("a <> b").mapInArrow(_contract, EDGES).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e)
     mark = _digest(e)

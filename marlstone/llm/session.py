@@ -10,15 +10,13 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: what Python workers run with unless the caller chose otherwise: freed memory goes back to the system, one thread each
-_WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1"}
 #: what a batch between the JVM and Python holds at most, by the usual value that it takes the place of
 _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(16 << 20))}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and make sure that a checkpoint folder is set.
+    """Let Python workers import this package, keep batches small, and make sure that a checkpoint folder is set.
 
     The folder named in ``spark.checkpoint.dir`` is used as it is. Where none is named, a local
     session (tests) gets a temporary one and a cluster the warehouse, which all executors share.
@@ -27,8 +25,6 @@ def prepare(spark: SparkSession) -> None:
     path = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if _ROOT not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, path) if x)
-        for k, v in _WORKERS.items():
-            sc.environment.setdefault(k, v)
     for k, (usual, v) in _BATCH.items():
         if spark.conf.get(k) == usual:
             spark.conf.set(k, v)
@@ -42,6 +38,7 @@ def prepare(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A table of the folder. ``spread``: one that has fewer splits than there are cores is dealt to all of them first."""
+    prepare(spark)  # before any function is sent to workers: it takes their settings along
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if spread and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
@@ -98,6 +95,7 @@ def keys(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     Never under ``spark.sql.shuffle.partitions``. Sources whose size isn't known count by their partitions.
     """
     spark = df.sparkSession
+    prepare(spark)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.length())]
