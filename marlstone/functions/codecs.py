@@ -20,34 +20,38 @@ _BLANK = " \t\r\n"
 
 def checked(text: Column, value: Column, what: str) -> Column:
     """``value``, or an error that names the text if only the value is null."""
-    return F.when(text.isNull(), F.lit(None)).when(value.isNull(), F.raise_error(F.concat(F.lit(f"not a valid {what}: "), text))).otherwise(value)
+    return F.when(text.isNotNull(), F.coalesce(value, F.raise_error(F.concat(F.lit(f"not a valid {what}: "), text))))
 
 
-def reader(parse: Callable[[Column], Column], what: str) -> Callable[[Column], Column]:
-    """A reader that raises where ``parse`` gives null; it keeps ``parse``, so that a document can be judged without raising."""
+def reader(parse: Callable[[Column], Column], what: str, sure: str | None = None) -> Callable[[Column], Column]:
+    """A reader that raises where ``parse`` gives null; it keeps ``parse``, so that a document can be judged without raising.
+
+    ``sure``: a pattern for texts, not all there may be, for which a cast gives the value.
+    """
 
     def read(c: Column) -> Column:
         return checked(c, parse(c), what)
 
-    read.parse, read.what = parse, what
+    read.parse, read.what, read.sure = parse, what, sure
     return read
 
 
 def _number(kind: str, sql: str, low: int | None = None, high: int | None = None):
     def parse(c: Column) -> Column:
         s = F.btrim(c, F.lit(_BLANK))
-        whole = F.when(s.rlike(r"^[+-]?[0-9]+$"), s) if sql.startswith("decimal") else s  # casts to integers take nothing else
+        whole = F.when(s.rlike(r"^[+-]?[0-9]+$"), s) if sql.startswith("decimal") else c  # casts to integers take nothing else but blanks around
         v = whole.try_cast(sql)
         if low is not None:
             v = F.when(v.between(F.expr(f"CAST('{low}' AS {sql})"), F.expr(f"CAST('{high}' AS {sql})")), v)
         return v
 
-    return reader(parse, kind)
+    digits = len(str(high)) - 1 if high else {"tinyint": 2, "smallint": 4, "int": 9, "bigint": 18}[sql]
+    return reader(parse, kind, f"{'' if low == 0 else '-?+'}[0-9]{{1,{digits}}}")
 
 
 def _boolean(c: Column) -> Column:
     s = F.lower(F.btrim(c, F.lit(_BLANK)))
-    return F.when(s == "true", F.lit(True)).when(s == "false", F.lit(False))
+    return F.when(c == "true", F.lit(True)).when(c == "false", F.lit(False)).when(s == "true", F.lit(True)).when(s == "false", F.lit(False))
 
 
 def _guid(c: Column) -> Column:
@@ -65,10 +69,11 @@ def decimal_reader(precision: int = 28, scale: int = 10) -> Callable[[Column], C
     fraction = rf"\.[0-9]{{1,{scale}}}0*" if scale else r"\.0+"
 
     def parse(c: Column) -> Column:
-        s = F.btrim(c, F.lit(_BLANK))
-        return F.when(s.rlike(rf"^[+-]?(?:[0-9]+\.?|[0-9]*{fraction})$"), s).try_cast(f"decimal({precision},{scale})")
+        blank = f"[{_BLANK}]*+"
+        return F.when(c.rlike(rf"\A{blank}[+-]?(?:[0-9]+\.?|[0-9]*{fraction}){blank}\z"), c).try_cast(f"decimal({precision},{scale})")  # which takes blanks around
 
-    return reader(parse, "decimal")
+    fits = 0 < precision - scale <= 18 and scale <= 10  # the usual decimal, which an absent one's default has
+    return reader(parse, "decimal", f"-?+[0-9]{{1,{precision - scale}}}+" + (rf"(?:\.[0-9]{{1,{scale}}}+)?+" if scale else "") if fits else None)
 
 
 def as_is(c: Column) -> Column:
@@ -96,8 +101,8 @@ class Scalar:
 
 _ALL = (
     Scalar("dateTime", "timestamp", reader(_date, "dateTime"), date_writer(), 33, "0001-01-01 00:00:00"),
-    Scalar("guid", "string", reader(_guid, "guid"), F.lower, 36, "00000000-0000-0000-0000-000000000000"),
-    Scalar("boolean", "boolean", reader(_boolean, "boolean"), plain, 5, False),
+    Scalar("guid", "string", reader(_guid, "guid", GUID[1:-1]), F.lower, 36, "00000000-0000-0000-0000-000000000000"),
+    Scalar("boolean", "boolean", reader(_boolean, "boolean", "(?:true|false)"), plain, 5, False),
     Scalar("byte", "tinyint", _number("byte", "tinyint"), plain, 4),
     Scalar("unsignedByte", "smallint", _number("unsignedByte", "smallint", 0, 255), plain, 3),
     Scalar("short", "smallint", _number("short", "smallint"), plain, 6),
@@ -130,6 +135,12 @@ class Codecs:
             return F.lit(None).cast("string")
         return F.when(c.isNotNull() & read.parse(c).isNull(), F.concat(F.lit(f"not a valid {read.what}: "), c))
 
+    def sure(self, name: str, text: str) -> str | None:
+        """The reader's pattern for texts that a cast reads; ``text`` for strings, None if there is none."""
+        if name == "string":
+            return None if name in self.readers else text
+        return getattr(self.readers.get(name, SCALARS[name].read), "sure", None)
+
     def write(self, name: str, c: Column) -> Column:
         if name in self.writers:
             return self.writers[name](c)

@@ -46,6 +46,7 @@ class Decoder:
 
     def __init__(self, model: Model, strict_items: bool = True, depth: int = wire.DEPTH, split: bool = False, raw_dates: bool = False):
         self.model, self.strict, self.depth, self.split, self.raw_dates = model.check(), strict_items, depth, split, raw_dates
+        self.ready: dict[str, Column] = {}  # lists of the root that may have been read without a wire struct; null where they weren't
 
     def _text(self, kind: str, c: Column) -> Column:
         """A blank text of a type that may be null is null."""
@@ -61,7 +62,8 @@ class Decoder:
 
     def member(self, m: Member, c: Column, want: dict | None, seen: tuple[str, ...], given: object) -> Column:
         if isinstance(m.kind, Many):
-            return F.when(c.isNotNull(), self._items(m, c, want, seen))
+            items = self._items(m, c, want, seen)
+            return F.when(c.isNotNull(), F.coalesce(self.ready[m.name], items) if len(seen) == 1 and m.name in self.ready else items)
         if isinstance(m.kind, Ref):
             return self.value(m.kind, c, want, seen, False)
         sql = "string" if isinstance(m.kind, Enum) else SCALARS[m.scalar].sql
@@ -204,12 +206,19 @@ def decode(
     if bad is not None:
         schema = schema.add(_CORRUPT, "string")
     raw = F.from_xml(normalised(xml, model), schema.simpleString(), {**OPTIONS, **mode, **(options or {})})
-    short = Plain(model, root)
+    short, even = Plain(model, root), []
     if short.fit and plain_form and not options and len(schema.fields):
         more = [] if bad is None else [F.lit(None).cast("string").alias(_CORRUPT)]
         raw = F.when(short.test(xml), short.read(xml, want, *more)).otherwise(raw)
+        even = [x for x in short.even if x in schema.names]
     # the parsed struct is a column of its own, so that it is made once however many members are read from it
     out = df.withColumn("__raw", raw)
+    if even:
+        types = out.select(d.subject(root, F.col("__raw"), want, (), False).alias(into)).schema[into].dataType
+        test = short.test_even(xml)
+        ready = F.when(test, F.struct(*(short.items(xml, types[x].dataType.elementType).alias(x) for x in even)))
+        out = df.withColumns({"__raw": F.when(test, short.read(xml, want, *more, empty={x: schema[x].dataType for x in even})).otherwise(raw), "__ready": ready})
+        d.ready = {x: F.col("__ready")[x] for x in even}
     if bad is None:
         return out.withColumn(into, d.document(F.col("__raw"), xml, root, want)).select(*keep, into)
     out = out.withColumn(bad, once(d.document_problem(F.col("__raw"), xml, root, want)))
