@@ -168,8 +168,22 @@ def xsi_prefix(c: Column) -> Column:
 
 
 def first_child(c: Column) -> Column:
-    """(name, text) of the root's first child."""
-    return F.struct(F.xpath_string(c, F.lit("name(/*/*[1])")).alias("name"), F.xpath_string(c, F.lit("/*/*[1]")).alias("text"))
+    """(name, text) of the root's first child.
+
+    A root whose children are mere texts, without attributes, references or a colon in a name, is recognised as a whole by one pattern;
+    any other document is parsed, once.
+    """
+    ws, name, chars = "[ \\t\\r\\n]*+", "[A-Za-z_][A-Za-z0-9_.-]*+", "[\\x3F-\\uD7FF\\x27-\\x3B\\x20-\\x25=\\n\\t\\uE000-\\uFFFD\\x{10000}-\\x{10FFFF}]*"
+    start = f"\\A(?:\\Q{PROLOG}\\E)?+{ws}<({name})>{ws}"
+    flat = f"{start}(?:<({name})>{chars}</\\2>{ws})++</\\1>{ws}\\z"
+    cut = [F.regexp_extract(c, f"{start}<({name})>([^<]*+)", i) for i in (2, 3)]
+    parsed = F.xpath_string(c, F.lit("concat(name(/*/*[1]), ' ', /*/*[1])"))  # a name holds no blank
+
+    def both(x: Column) -> Column:
+        return F.struct(F.substring_index(x, " ", 1).alias("name"), F.substr(x, F.instr(x, " ") + 1).alias("text"))
+
+    # the text is an item of an array, so that it is parsed once and not for each use
+    return F.when(c.rlike(flat), F.struct(cut[0].alias("name"), cut[1].alias("text"))).otherwise(F.transform(F.array(parsed), both)[0])
 
 
 def inner(c: Column) -> Column:
